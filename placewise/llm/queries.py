@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placewise.llm import bpe, lines, packing, simhash
+from placewise.llm import bpe, chat, flac, lines, packing, quality, simhash, toxicity
 from placewise.llm.common import table
 
 
@@ -19,14 +20,39 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conflicting = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    return chat.digest(chat.format_turns(real.unionByName(conflicting)))
+
+
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.classify(docs, model).select("doc_id", toxicity.held_out_column().alias("held_out"), "score", "predicted")
+
+
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model).select("doc_id", toxicity.held_out_column(*quality.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 OP5_SQL = r"""
 WITH split AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -52,8 +78,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_flac_media": op3_flac_media,
         "op5_line_dedup": op5_line_dedup,
+        "op6_chat_format": op6_chat_format,
         "op7_simhash_golay": op7_simhash_golay,
+        "op9_toxicity": op9_toxicity,
+        "op10_quality_crf": op10_quality_crf,
     }
 
 
