@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import bpe, chat, flac, lines, packing, quality, simhash, toxicity
+from placewise.llm import bpe, chat, flac, lines, minhash, packing, quality, simhash, toxicity
 from placewise.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op8_minhash_oph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.compare_with_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_simhash_golay": op7_simhash_golay,
+        "op8_minhash_oph": op8_minhash_oph,
         "op9_toxicity": op9_toxicity,
         "op10_quality_crf": op10_quality_crf,
     }
