@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.llm import bpe, chat, flac, lines, minhash, packing, quality, simhash, toxicity
+from placewise.llm import bpe, chat, flac, lines, minhash, packing, quality, simhash, toxicity, windows
 from placewise.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_byte_bpe": op2_byte_bpe,
         "op3_flac_media": op3_flac_media,
+        "op4_substring_windows": op4_substring_windows,
         "op5_line_dedup": op5_line_dedup,
         "op6_chat_format": op6_chat_format,
         "op7_simhash_golay": op7_simhash_golay,
