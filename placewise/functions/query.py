@@ -13,10 +13,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_TERMS = 8
 LARGEST = 99_999
-SCHEMA = "road string, main int, sub int, terms array<string>, dong string, ri string, san boolean, bld_dong string, zipcode string, adjacent boolean"
+_TYPES = {"main": T.IntegerType(), "sub": T.IntegerType(), "terms": T.ArrayType(T.StringType()), "san": T.BooleanType(), "adjacent": T.BooleanType()}
+#: The slots of a parse; texts unless a type is given.
+SCHEMA = T.StructType([T.StructField(n, _TYPES.get(n, T.StringType())) for n in ("road", "main", "sub", "terms", "dong", "ri", "san", "bld_dong", "zipcode", "adjacent")])
 
 _SPLIT = re.compile(r"[\s,()\[\]{}]+")
 _NUMBER = re.compile(r"(산)?(\d+)(?:-(\d+))?")
@@ -104,8 +107,7 @@ def parse_one(query: str | None) -> tuple:
 
 @F.pandas_udf(SCHEMA)
 def parse_query(q: pd.Series) -> pd.DataFrame:
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
-    out = pd.DataFrame([parse_one(x) for x in q], columns=names)
+    out = pd.DataFrame([parse_one(x) for x in q], columns=SCHEMA.names)
     for c in ("main", "sub"):
         out[c] = out[c].astype("Int32")
     return out

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from placewise.functions import geo, present
 
@@ -180,7 +181,7 @@ def collection(features_df: DataFrame) -> DataFrame:
     return features_df.agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), joined, F.lit("]}")).alias("collection"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pcd_rows(x: pd.Series, y: pd.Series, z: pd.Series, rgb: pd.Series) -> pd.Series:
     """SNK13: 16 little-endian bytes a point: three floats, and the colour's bits as one."""
     raw = np.empty(len(x), np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("rgb", "<u4")]))
