@@ -45,7 +45,7 @@ def test_codes_over_time(spark):
 def test_regions_and_reasons(spark):
     p = spark.createDataFrame([("서울특별시",)], "sido string")
     df = spark.createDataFrame([("서울특별시", "중구"), ("서울틀별시", "중구"), (None, "x")], "sido string, sigungu string")
-    assert rows(relational.blank_invalid(df, p), "sido", "sigungu", "bad_region") == [("", "", True), (None, "x", False), ("서울특별시", "중구", False)]
+    assert rows(relational.blank_invalid(df, p), "sido", "sigungu", "bad_region") == [("", "", True), ("서울특별시", "중구", False), (None, "x", False)]
     cats = spark.createDataFrame([("old", None, "s"), ("keep", "k", "t")], "cat1 string, cat2 string, subtype string")
     table = spark.createDataFrame([("old", "s", "new", " ")], "cat1 string, subtype string, new_cat1 string, new_cat2 string")
     assert rows(relational.crosswalk(cats, table), "cat1", "cat2") == [("keep", "k"), ("new", None)]
