@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from placewise.durable import cut, shared_dir, stash
+
+__all__ = ["batch_of", "cut", "shared_dir", "ship", "stash", "table", "text_slices"]
+
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
@@ -28,36 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    context = spark.sparkContext._jsc.sc()
-    if where:
-        if context.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(where)
-        return where
-    if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placewise-"))
-    return context.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and forget its lineage; survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back (smaller than ``cut``; removed when the application ends)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(schema).parquet(path)
-
-
 def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20):
     """Split a batch into runs of rows of about ``size`` bytes of text, so that working memory doesn't follow the batch.
 

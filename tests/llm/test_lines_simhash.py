@@ -5,7 +5,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
-from placewise.llm import components, lines, simhash
+from placewise.llm import lines, simhash
+from placewise.operators import components
 
 
 def lines_by_hand(rows, min_chars, min_docs):
