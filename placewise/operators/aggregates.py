@@ -42,17 +42,34 @@ def any_true(df: DataFrame, keys: DataFrame, on: list[str], condition: Column) -
     return keys.join(df.groupBy(*on).agg(F.bool_or(condition).alias("any")), on, "left")
 
 
+def _ranked_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values of a key with ``_hi``, the rows up to and with them, and ``_n``, all rows.
+
+    Values are counted before they are ordered, and ordered by a sort that can spill: no group is held in memory."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*keys)
+    return counts.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w))
+
+
 def percentiles_linear(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
     """AGG10: exact, between neighbours."""
-    return df.groupBy(*keys).agg(*(F.percentile(value, p).alias(f"p{round(p * 100):02d}") for p in points))
+    v = F.col(value).cast("double")
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_hi") > place, v))
+
+    def point(p: float) -> Column:
+        place = F.lit(p) * (F.col("_n") - 1)
+        low, high, part = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        return (low + part * (high - low)).alias(f"p{round(p * 100):02d}")
+
+    return _ranked_values(df, keys, value).groupBy(*keys).agg(*map(point, points))
 
 
 def percentiles_nearest(df: DataFrame, keys: list[str], value: str, points: list[float]) -> DataFrame:
     """AGG11: the value at rank ceil(p n)."""
-    known = df.where(F.col(value).isNotNull())
-    w = Window.partitionBy(*keys)
-    ranked = known.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_r") >= F.ceil(F.lit(p) * F.col("_n")), F.col(value))).alias(f"p{round(p * 100):02d}") for p in points))
+    ranked = _ranked_values(df, keys, value)
+    return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_hi") >= F.ceil(F.lit(p) * F.col("_n")), F.col(value))).alias(f"p{round(p * 100):02d}") for p in points))
 
 
 #: Ranges of the multiplicity histogram (fixed values).
