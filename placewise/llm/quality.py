@@ -2,8 +2,9 @@
 
 Every line has features of its own, of the line before and of the line after. The chain labels each
 line good or bad; its potentials are linear in the features, with one weight for staying in a label.
-It is trained on documents' labels: all lines of good documents are good; in bad documents the lines
-that the model of the round before takes for good are good, but for the worst. Forward-backward
+It is trained on documents' labels in rounds, the first without neighbours: all lines of good documents
+are good; in bad documents the lines that the model of the round before takes for good are good, but
+for the worst. Forward-backward
 marginals, weighted by line length, give a document's share of good text, and a logistic curve
 fitted on the same documents makes that share its score.
 
@@ -133,9 +134,12 @@ class Model:
         return sigmoid(self.curve[0] * self.good_shares(texts) + self.curve[1])
 
 
-def train(x: np.ndarray, y: np.ndarray, starts: np.ndarray, line_weights: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights by gradient ascent (Adam) on the conditional log likelihood of the line labels."""
+def train(x: np.ndarray, y: np.ndarray, starts: np.ndarray, line_weights: np.ndarray, alone: bool = False) -> tuple[np.ndarray, float]:
+    """Weights by gradient ascent (Adam) on the conditional log likelihood of the line labels; ``alone`` leaves out all that neighbours say."""
     theta = np.zeros(x.shape[1] + 1)
+    used = np.ones_like(theta)
+    if alone:
+        used[N : 3 * N] = used[-1] = 0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     inside = np.ones(len(y), bool)
     inside[starts] = False
@@ -146,6 +150,7 @@ def train(x: np.ndarray, y: np.ndarray, starts: np.ndarray, line_weights: np.nda
     for t in range(1, STEPS + 1):
         good, same = marginals(x @ theta[:-1], theta[-1], starts)
         g = np.append(x.T @ (line_weights * (y - good)), (line_weights * inside * (kept - same)).sum()) / total - RIDGE * theta
+        g *= used
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return theta[:-1], float(theta[-1])
@@ -162,8 +167,9 @@ def fit_texts(texts: list[str], y: np.ndarray, weights: np.ndarray) -> Model:
     # a document counts as one, whatever its number of lines
     line_weights = (1 / sizes)[owner]
     labels = y[owner].copy()
-    for _ in range(ROUNDS):
-        w, stay = train(x, labels, starts, line_weights)
+    for k in range(ROUNDS):
+        # the first round tells junk lines from plain ones that stand beside them
+        w, stay = train(x, labels, starts, line_weights, alone=k == 0)
         good, _ = marginals(x @ w, stay, starts)
         worst = np.zeros(len(good), bool)
         for a, n in zip(starts.tolist(), sizes.tolist(), strict=True):
