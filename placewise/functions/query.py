@@ -15,6 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# ---- fixed values: bounds, and the forms of tokens ----
 MAX_TERMS = 8
 LARGEST = 99_999
 _TYPES = {"main": T.IntegerType(), "sub": T.IntegerType(), "terms": T.ArrayType(T.StringType()), "san": T.BooleanType(), "adjacent": T.BooleanType()}
