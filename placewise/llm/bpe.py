@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import batch_of, text_slices
+from placewise.llm.common import batch_of, held, text_slices
 
 #: Pre-tokens whose ids a worker remembers.
 CACHE = 400_000
@@ -161,13 +161,8 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    if (path, pattern) not in _CODECS:
-        _CODECS[path, pattern] = Codec(path, pattern)
-    return _CODECS[path, pattern]
+    return held("bpe", (path, pattern), lambda: Codec(path, pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 from pathlib import Path
 
@@ -10,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from placewise.durable import cut, shared_dir, stash
 
-__all__ = ["batch_of", "cut", "shared_dir", "ship", "stash", "table", "text_slices"]
+__all__ = ["batch_of", "cut", "held", "shared_dir", "ship", "stash", "table", "text_slices"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -30,6 +33,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a Python worker remembers between tasks, of the operator that it ran last.
+_HELD: dict = {}
+
+
+def held(kind: str, key=None, make=None):
+    """What ``make`` gave for (kind, key) in this worker; things of other kinds are let go first, so that a worker that serves one operator after another holds the memory of one."""
+    if any(k != kind for k, _ in _HELD):
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    if (kind, key) not in _HELD:
+        _HELD[kind, key] = make() if make else None
+    return _HELD[kind, key]
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20):
     """Split a batch into runs of rows of about ``size`` bytes of text, so that working memory doesn't follow the batch.
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import batch_of, stash, text_slices
+from placewise.llm.common import batch_of, held, stash, text_slices
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -50,6 +50,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     fields = [pa.field("h1", pa.int64()), pa.field("h2", pa.int64()), pa.field("doc_id", pa.int64())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("lines")
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in text_slices(batch, size=4 << 20):

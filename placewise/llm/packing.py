@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import batch_of, stash, text_slices
+from placewise.llm.common import batch_of, held, stash, text_slices
 
 CAPACITY = 2048
 #: Bins that a packer keeps open, and the pieces that it is dealt on average.
 MAX_OPEN = 32_768
 PER_PACKER = 32_768
 #: Chunks whose ids a worker remembers.
-CACHE = 300_000
+CACHE = 400_000
 #: A control character that stands alone between chunks that are encoded together.
 MARK = "\x01"
 
@@ -64,6 +64,7 @@ class ChunkEncoder:
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.bases: dict[str, bytes] = {"": b""}
+        self.older_bases: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -107,8 +108,8 @@ class ChunkEncoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.size // 2:
             self.older, self.known = self.known, {"": b""}
-        if len(self.bases) > self.size:
-            self.bases = {"": b""}
+        if len(self.bases) > self.size // 2:
+            self.older_bases, self.bases = self.bases, {"": b""}
         known, older, bases = self.known, self.older, self.bases
         missing = []
         for c in set().union(*split).difference(known):
@@ -117,20 +118,21 @@ class ChunkEncoder:
             else:
                 known[c] = ids
         if missing:
-            self._learn(list({x for _, *both in missing for x in both if x not in bases}))
+            unknown = []
+            for x in {x for _, *both in missing for x in both if x not in bases}:
+                if (ids := self.older_bases.get(x)) is None:
+                    unknown.append(x)
+                else:
+                    bases[x] = ids
+            self._learn(unknown)
             for c, base, tail in missing:
                 known[c] = bases[base] + bases[tail]
         get = known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held("packing", path, lambda: ChunkEncoder(path))
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:

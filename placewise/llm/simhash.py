@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placewise.llm.common import batch_of, stash, text_slices
+from placewise.llm.common import batch_of, held, stash, text_slices
 from placewise.operators.components import connected_components
 
 BITS = 3
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     fields = [pa.field("doc_id", pa.int64()), pa.field("fp", pa.int64())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("simhash")
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in text_slices(batch):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placewise.llm.common import batch_of, text_slices
+from placewise.llm.common import batch_of, held, text_slices
 from placewise.llm.fitting import labelled_sample, logistic, sigmoid
 
 #: Labelled documents of each class that the classifier is fitted on, at most.
@@ -39,7 +39,7 @@ FRAGMENT_SIZES = (4, 5, 6, 7)
 FUZZY_FROM = 5
 WINDOW = 8
 QUOTED, REPORTED, CLOSE = 0.4, 0.6, 0.5
-CACHE = 300_000
+CACHE = 150_000
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 QUOTES = "\"“”„«»‟"
@@ -260,6 +260,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     fields = [pa.field("doc_id", pa.int64()), pa.field("score", pa.float64())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for first, texts in text_slices(batch):
@@ -278,6 +279,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity")
         for batch in batches:
             scores = [model.score(texts) for _, texts in text_slices(batch, "text")]
             yield batch.filter(pa.array(np.concatenate(scores) < threshold)) if scores else batch
