@@ -231,10 +231,16 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: the smallest id; of rows that share it the least by its atomic columns."""
+def keep_one(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:
+    """One document of each component, joined further by the edges ``also`` (a, b) of ids: the smallest id; of rows that share it the least by its atomic columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    leaders = near_duplicates(docs).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = near_duplicates(docs)
+    if also is not None:
+        own = stash(found.where("doc_id is not null").select("doc_id", "component_id").distinct())
+        edges = own.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).unionByName(also.select("a", "b"))
+        joined = connected_components(edges)
+        found = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    leaders = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.withColumn("_id", F.col("doc_id").cast("long")).join(leaders.withColumnRenamed("doc_id", "_id"), "_id", "left_semi")
     atomic = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
     one = kept.groupBy("_id").agg(F.min_by(F.struct(*columns), F.struct(*atomic)).alias("_row")).select("_row.*")
