@@ -360,19 +360,12 @@ def code_remap(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     space = F.when(k % 4 == 0, "28").when(k % 4 == 1, "46").when(k % 4 == 2, "29").otherwise("11")
     coded = c.select("c_custkey", F.concat(space, F.lpad(k.cast("string"), 8, "0")).alias("code"))
+    # an eight-digit prefix stands for a hundred keys here; those in 28 and 29 are even, those in 46 odd
     even = coded.where("c_custkey % 2 = 0")
-    eight = F.substring("code", 1, 8)
-    # an eight-digit prefix stands for a hundred keys here, so the tables are made of whole codes' prefixes where those are unambiguous
-    tables = even.select("c_custkey", "code", eight.alias("old8"))
-    ten = coded.select("c_custkey", F.col("code"))
-    ren = tables.where(F.substring("code", 1, 2) == "28").select(F.col("code").alias("old10"), F.concat(F.lit("281"), F.substring("code", 4, 7)).alias("new10"))
-    mer = tables.where(F.substring("code", 1, 2).isin("46", "29")).select(F.col("code").alias("old10"), F.concat(F.lit("12"), F.substring("code", 3, 8)).alias("new10"))
-    exc = ten.where("c_custkey % 7 = 0").where(F.substring("code", 1, 2).isin("46", "29")).select(F.col("code").alias("old10"), F.lit("9999999999").alias("new10"))
-    all_exc = exc.unionByName(mer.join(exc.select("old10"), "old10", "left_anti"))
-    empty = spark.createDataFrame([], "old8 string, new8 string")
-    step = codes.remap_codes(coded, "code", "remapped", None, empty, all_exc).select("c_custkey", "code", "remapped")
-    done = step.join(ren.withColumnRenamed("old10", "code"), "code", "left")
-    return done.select("c_custkey", F.coalesce("new10", "remapped").alias("remapped"))
+    ren = even.where(F.substring("code", 1, 2) == "28").select(F.substring("code", 1, 8).alias("old8"), F.concat(F.lit("281"), F.substring("code", 4, 5)).alias("new8"))
+    mer = even.where(F.substring("code", 1, 2).isin("46", "29")).select(F.substring("code", 1, 8).alias("old8"), F.concat(F.lit("12"), F.substring("code", 3, 6)).alias("new8"))
+    exc = coded.where("c_custkey % 7 = 0").where(F.substring("code", 1, 2).isin("46", "29")).select(F.col("code").alias("old10"), F.lit("9999999999").alias("new10"))
+    return codes.remap_codes(coded, "code", "remapped", ren, mer, exc).select("c_custkey", "remapped")
 
 
 @query("""
