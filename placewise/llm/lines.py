@@ -3,8 +3,8 @@
 A run is a table (h1, h2, n_docs, last_doc) of the 128-bit hashes of line keys, sorted by hash:
 how many documents hold the key and the largest id among them. Each new batch is reduced to a run
 of its own and put on level 0; when ``FAN`` runs stand on a level they are merged into one of the
-next. The documents of a batch are cleaned by a merge join of their line hashes with the runs:
-hot keys (in at least ``min_docs`` documents) lose their lines except where ``last_doc`` holds them.
+next. The line hashes of all documents are joined with the runs once, after the last batch, since the
+largest id that holds a key is known only then: hot keys (in at least ``min_docs`` documents) lose their lines except where ``last_doc`` holds them.
 
 A key is the line without the whitespace ``[\\x20\\x09-\\x0D]`` at its ends and with A-Z in lower
 case; keys under ``min_chars`` code points are never dropped. Text is split at line feeds only.
@@ -106,7 +106,7 @@ class LineRuns:
         return merged.where(F.col("n_docs") >= self.min_docs).select("h1", "h2", "last_doc")
 
     def drops(self, seen: DataFrame) -> DataFrame:
-        """Rows (doc_id, drops): the keys that a document of the batch loses; all its others pass the anti-join."""
+        """Rows (doc_id, drops): the keys that a document loses."""
         lost = seen.join(self.hot(), ["h1", "h2"]).where(F.col("doc_id") != F.col("last_doc"))
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
 
