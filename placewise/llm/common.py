@@ -11,9 +11,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from placewise.durable import cut, shared_dir, stash
+from placewise.durable import cut, discard, shared_dir, stash
 
-__all__ = ["batch_of", "cut", "held", "shared_dir", "ship", "stash", "table", "text_slices"]
+__all__ = ["batch_of", "cut", "discard", "held", "shared_dir", "ship", "stash", "table", "text_slices"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
