@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SEED = 7
+#: Bytes of text of each class that are collected at most.
+CLASS_BYTES = 32 << 20
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, per_class: int) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and weights of at most ``per_class`` labelled documents of each class, picked by a hash of the id.
 
+    In that order documents are taken as long as all texts of their class come to ``CLASS_BYTES`` at most; texts are whole.
     Ids whose crc32 (of their decimal text) leaves ``held_out`` are left out. A weight is the class's
     size over its part of the sample, so that weighted counts are those of all labelled rows."""
     key = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -24,7 +27,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
         picked = part if picked is None else picked.unionByName(part)
     # at most 2 * per_class rows: small enough to send to every task
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy("doc_id").collect()
+    whole = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    # a window over at most per_class rows of a class
+    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id")
+    sized = whole.withColumn("size", F.sum(F.octet_length("text").cast("long")).over(order)).where(F.col("size") <= CLASS_BYTES)
+    rows = sized.select("doc_id", "text", "y").orderBy("doc_id").collect()
     y = np.array([r.y for r in rows], np.float64)
     weights = np.array([sizes[r.y] / max(1, sum(y == r.y)) for r in rows]) if rows else np.zeros(0)
     return [r.text for r in rows], y, weights

@@ -1,14 +1,16 @@
 """Toxicity by a lexicon, Levenshtein automata and context windows.
 
-The lexicon is learned from labelled documents: terms (whole words) and fragments (runs of letters
-within words) that stand in toxic documents far oftener than in others. Terms are a trie; the
-Levenshtein automata of distance one are intersected with it lazily, as one deterministic automaton
-whose states are sets of (trie node, errors), so that a word is followed letter by letter until no
-term can match. Fragments are found by an Aho-Corasick automaton.
+The lexicon is learned from labelled documents: words, and stems that words begin with, that stand in
+toxic documents far oftener than in others. They are a trie; the Levenshtein automata of distance one
+are intersected with it lazily, as one deterministic automaton whose states are sets of (trie node,
+errors), so that a word is followed letter by letter until no entry can match. A misspelt word counts
+for the term itself, at ``DISCOUNT``; words within one edit that ordinary documents hold as well
+(``INNOCENT`` of them or more, and not far oftener in toxic ones) count nothing. A stem accepts any
+ending, and no error: one edit in a beginning meets ordinary words.
 
 A hit counts by its context: a window of ``WINDOW`` tokens on either side raises it with every
 other hit there, and lowers it if the hit stands in quotation marks or after a word that reports
-speech. A document's features are its weighted hits, in all and a token, by entry; a logistic
+speech. A document's features are its weighted hits, in all and a token, by term; a logistic
 regression gives the score.
 
 Edge cases: null and empty texts have no hits and get the score of a text without any; repeated
@@ -17,6 +19,7 @@ rows get equal scores; without labelled rows of both classes the score is the sh
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -33,8 +36,16 @@ from placewise.llm.fitting import labelled_sample, logistic, sigmoid
 
 #: Labelled documents of each class that the classifier is fitted on, at most.
 PER_CLASS = 3000
-TERMS, FRAGMENTS = 60, 40
-FRAGMENT_SIZES = (4, 5, 6, 7)
+#: Terms of the lexicon at most (the surest ones), and the least share and number of toxic documents that hold one.
+TERMS, LEAST_SHARE, LEAST = 60, 0.01, 4
+#: How many times oftener a term stands in toxic documents than in others, and by how many standard errors, at least.
+RATIO, SURE = 8, 6
+#: Letters of a stem; of the toxic documents with a stem, the share that may hold one and the same word.
+STEM_SIZES, STEM_WORD = (3, 4, 5, 6, 7, 8), 0.5
+#: Ends a stem in the lexicon.
+OPEN = "*"
+#: What a misspelt term counts, and the ordinary documents that make a word next to a term an innocent one.
+DISCOUNT, INNOCENT = 0.7, 3
 #: Terms shorter than this are matched as they are.
 FUZZY_FROM = 5
 WINDOW = 8
@@ -49,29 +60,31 @@ _LETTERS = re.compile(r"[^\W_]+")
 
 
 class Automaton:
-    """All words within one edit of a term (none for short terms), determinised as far as words lead."""
+    """All words within one edit of a term (none for short terms), and all that begin with a stem, determinised as far as words lead."""
 
     def __init__(self, terms: list[str], fuzzy_from: int = FUZZY_FROM):
         self.children: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
+        self.stem: list[int] = [-1]
         self.budget: list[bool] = [False]  # whether some term below the node may have an error
+        self.fuzzy = [len(t) >= fuzzy_from and not t.endswith(OPEN) for t in terms]
         for i, t in enumerate(terms):
             node = 0
-            fuzzy = len(t) >= fuzzy_from
-            self.budget[0] |= fuzzy
-            for c in t:
+            self.budget[0] |= self.fuzzy[i]
+            for c in t.removesuffix(OPEN):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.term.append(-1)
+                    self.stem.append(-1)
                     self.budget.append(False)
                 node = self.children[node][c]
-                self.budget[node] |= fuzzy
-            self.term[node] = i
-        self.fuzzy = [len(t) >= fuzzy_from for t in terms]
+                self.budget[node] |= self.fuzzy[i]
+            (self.stem if t.endswith(OPEN) else self.term)[node] = i
         self.start = self._closed({(0, 0)})
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.ends: dict[frozenset, tuple[int, int]] = {}
+        self.open: dict[frozenset, int] = {}  # states that have read a stem
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With the states that the deletion of a term's letter leads to."""
@@ -94,7 +107,7 @@ class Automaton:
         return min(found, default=(2, -1))
 
     def match(self, word: str) -> tuple[int, int]:
-        """(edits, term) of the nearest term, the first of equally near ones; (2, -1) if none is within one edit."""
+        """(edits, term) of the stem that the word begins with or the nearest term, the first of equally near ones; (2, -1) if none is within one edit."""
         state, moves = self.start, self.moves
         for c in word:
             key = (state, c)
@@ -103,8 +116,12 @@ class Automaton:
                 if len(moves) > 200_000:
                     moves.clear()
                 state = moves[key] = self._move(key[0], c)
+                if read := [self.stem[node] for node, e in state if e == 0 and self.stem[node] >= 0]:
+                    self.open[state] = min(read)
             if not state:
                 return 2, -1
+            if state in self.open:
+                return 0, self.open[state]
         found = self.ends.get(state)
         if found is None:
             found = self.ends[state] = self._end(state)
@@ -114,44 +131,35 @@ class Automaton:
 @dataclass
 class Model:
     terms: list[str]
-    fragments: list[str]
+    innocent: list[str]
     weights: np.ndarray
     prior: float
     made: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return {"terms": self.terms, "fragments": self.fragments, "weights": self.weights, "prior": self.prior, "made": {}}
+        return {"terms": self.terms, "innocent": self.innocent, "weights": self.weights, "prior": self.prior, "made": {}}
 
     def _tools(self) -> tuple:
         if not self.made:
-            import ahocorasick
-
-            pieces = ahocorasick.Automaton()
-            for i, f in enumerate(self.fragments):
-                pieces.add_word(f, i)
-            if self.fragments:
-                pieces.make_automaton()
-            self.made["tools"] = Automaton(self.terms), pieces, {}
+            self.made["tools"] = Automaton(self.terms), frozenset(self.innocent), {}
         return self.made["tools"]
 
     def hits_of(self, token: str) -> tuple[tuple[int, float], ...]:
-        """Features that a token hits: a term, the inexact ones, or fragments."""
-        automaton, pieces, _ = self._tools()
+        """The terms that a token's words hit, each with what the hit counts."""
+        automaton, innocent, _ = self._tools()
         out = []
         for word in _LETTERS.findall(token.lower()):
             edits, term = automaton.match(word)
-            if term >= 0:
-                out.append((term if edits == 0 else len(self.terms), 1.0))
-            elif self.fragments and len(word) >= FRAGMENT_SIZES[0]:
-                out += [(len(self.terms) + 1 + i, 1.0) for _, i in pieces.iter(word)]
+            if term >= 0 and word not in innocent:
+                out.append((term, 1.0 if edits == 0 else DISCOUNT))
         return tuple(out)
 
     @property
     def n_features(self) -> int:
-        return 2 * (len(self.terms) + 1 + len(self.fragments))
+        return 2 * len(self.terms)
 
     def features(self, texts: list[str]) -> np.ndarray:
-        n = len(self.terms) + 1 + len(self.fragments)
+        n = len(self.terms)
         cache = self._tools()[2]
         split = [t.split() for t in texts]
         if len(cache) > CACHE:
@@ -199,46 +207,42 @@ def _ranked(toxic: Counter, clean: Counter, n_toxic: float, n_clean: float, leas
         if a >= least and p > ratio * q:
             pooled = (a + b) / (n_toxic + n_clean)
             out.append(((p - q) / np.sqrt(pooled * (1 - min(pooled, 0.999)) * (1 / n_toxic + 1 / n_clean)), entry))
-    return sorted(out, key=lambda x: (-x[0], x[1]))
-
-
-def _grams(word: str) -> set[str]:
-    return {word[k : k + size] for size in FRAGMENT_SIZES for k in range(len(word) - size + 1)}
-
-
-def lexicon(texts: list[str], y: np.ndarray, terms: int = TERMS, fragments: int = FRAGMENTS) -> tuple[list[str], list[str]]:
-    """Terms by the documents that hold them, and fragments by the words that hold them, of documents without a term.
-
-    Words that share a fragment with several others of the kind leave the terms to that fragment."""
-    words = [Counter(intern(w) for t in text.split() for w in _LETTERS.findall(t.lower())) for text in texts]
-    holds = [Counter(), Counter()]
-    for own, label in zip(words, y, strict=True):
-        holds[int(label)].update(own.keys())
-    likely = [t for z, t in _ranked(holds[1], holds[0], max(1, sum(y)), max(1, sum(1 - y)), 5, 12) if z > 4 and len(t) > 2][: 10 * terms]
-    shared = Counter(g for t in likely for g in _grams(t) if g != t)
-    found = [t for t in likely if not any(shared[g] >= 4 for g in _grams(t))][:terms]
-    known = set(found)
-    counts, totals = [Counter(), Counter()], [0.0, 0.0]
-    for label in (1, 0):
-        for own, is_toxic in zip(words, y, strict=True):
-            if is_toxic != label or (label and not known.isdisjoint(own)):
-                continue
-            for word, n in own.items():
-                totals[label] += n
-                grams = _grams(word)
-                if not label:
-                    grams &= counts[1].keys()
-                for g in grams:
-                    counts[label][g] += min(n, 3)
-        if label:
-            counts[1] = Counter({g: n for g, n in counts[1].items() if n >= 8})
-    best: list[str] = []
-    for z, g in _ranked(counts[1], counts[0], max(1, totals[1]), max(1, totals[0]), 8, 6):
-        if z < 5 or len(best) == fragments:
+    return sorted(out, key=lambda x: (-x[0], x[1].endswith(OPEN), -len(x[1]), x[1]))
+
+
+def _entries(text: str) -> set[str]:
+    """The words of a text and the stems that they begin with."""
+    words = {w for t in text.split() for w in _LETTERS.findall(t.lower()) if len(w) > 2}
+    return {intern(w) for w in words} | {intern(w[:k] + OPEN) for w in words for k in STEM_SIZES if k < len(w)}
+
+
+def lexicon(texts: list[str], y: np.ndarray, terms: int = TERMS) -> tuple[list[str], list[str]]:
+    """Words and stems, by the documents that hold them, the surest first and none within another; and the innocent words within one edit of a term."""
+    toxic, clean, top = Counter(), Counter(), Counter()
+    n_toxic, n_clean = max(1, sum(y)), max(1, sum(1 - y))
+    for text in itertools.compress(texts, y):
+        toxic.update(_entries(text))
+    for w, n in toxic.items():
+        if not w.endswith(OPEN):
+            for stem in (w[:k] + OPEN for k in STEM_SIZES if k < len(w)):
+                top[stem] = max(top[stem], n)
+    least = max(LEAST, LEAST_SHARE * n_toxic)
+    likely = Counter({t: n for t, n in toxic.items() if n >= least and top[t] <= STEM_WORD * n})
+    words = Counter()
+    for text in itertools.compress(texts, 1 - y):
+        own = _entries(text)
+        clean.update(own & likely.keys())
+        words.update(w for w in own if not w.endswith(OPEN))
+    found: list[str] = []
+    for z, t in _ranked(likely, clean, n_toxic, n_clean, least, RATIO):
+        if z <= SURE or len(found) == terms:
             break
-        if not any(g in b or b in g for b in best):
-            best.append(g)
-    return found, best
+        own = t.removesuffix(OPEN)
+        if not any((f.endswith(OPEN) and own.startswith(f[:-1])) or (t.endswith(OPEN) and f.startswith(own)) for f in found):
+            found.append(t)
+    automaton = Automaton(found)
+    near = [w for w, n in words.items() if n >= INNOCENT and toxic[w] / n_toxic <= RATIO * n / n_clean and automaton.match(w)[0] == 1]
+    return found, sorted(near)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held_out: tuple[int, int] = HELD_OUT) -> Model:

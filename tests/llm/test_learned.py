@@ -30,6 +30,18 @@ def test_automaton_by_brute_force():
         assert automaton.match(word) == best
 
 
+def test_automaton_with_stems_by_brute_force():
+    rng = random.Random(8)
+    terms = ["idiot", "abc*", "trash", "ab"]
+    automaton = toxicity.Automaton(terms)
+    for _ in range(5000):
+        word = "".join(rng.choice("abcidotrsh") for _ in range(rng.randint(0, 3)))
+        word = rng.choice([word, "abc" + word, "ab" + word, "idiot"[: rng.randint(3, 5)] + word[:2]])
+        near = [(0, k) for k, t in enumerate(terms) if word == t or (t.endswith("*") and word.startswith(t[:-1]))]
+        near += [(1, k) for k, t in enumerate(terms) if not t.endswith("*") and len(t) >= 5 and edits(word, t) == 1]
+        assert automaton.match(word) == min(near, default=(2, -1))
+
+
 def corpus(rng, n):
     plain = [f"w{k}ord" for k in range(300)]
     texts, y = [], []
@@ -61,11 +73,43 @@ def test_misspelling_and_quotation(toxic_model):
     score = lambda *w: float(toxic_model.score([frame.format(*w)])[0])
     assert score("idiot", "stupid", "moron") > 0.3 > score("w5ord", "w6ord", "w7ord")
     hits = toxic_model.hits_of("st0pid"), toxic_model.hits_of("Moron!!")
-    assert hits[0] == ((len(toxic_model.terms), 1.0),) and hits[1] == ((toxic_model.terms.index("moron"), 1.0),)
+    at = toxic_model.terms.index
+    assert hits == (((at("stupid"), toxicity.DISCOUNT),), ((at("moron"), 1.0),))
+    assert score("idiiot", "stuupid", "moronn") > 0.3  # misspelt abuse is abuse
+    assert score("idiot", "stupid", "moron") > score("idiiot", "stuupid", "moronn") > score("idiiot", "w6ord", "w7ord") > score("w5ord", "w6ord", "w7ord")
+    assert score('"idiot"', '"stupid"', '"moron"') < score("idiot", "stupid", "moron")
+    assert score("said idiot", "said stupid", "said moron") < score("idiot", "stupid", "moron")
     plain, quoted = toxic_model.features(["they said you are an idiot w1ord", 'they said "you are an idiot" w1ord'])
     assert plain.sum() > quoted.sum()
 
 
+def test_innocent_words_next_to_a_term_count_nothing():
+    texts, y = corpus(random.Random(6), 600)
+    texts = [t + " idiom crown" * (k % 3) for k, t in enumerate(texts)]
+    model = toxicity.fit_texts(texts, y, np.ones(len(y)))
+    assert "idiom" in model.innocent and model.hits_of("idiom") == ()
+    assert model.hits_of("idoot") == ((model.terms.index("idiot"), toxicity.DISCOUNT),)
+
+
+def test_stems_are_found_and_take_any_ending_but_no_error():
+    rng = random.Random(7)
+    texts, y = corpus(rng, 600)
+    endings = ["ing", "ed", "er", "ly", "ness", "s", "dom"]
+    texts = [" ".join("fraul" + rng.choice(endings) if w in ("idiot", "moron", "stupid", "pathetic") else w for w in t.split()) for t in texts]
+    model = toxicity.fit_texts(texts, y, np.ones(len(y)))
+    (stem,) = model.terms
+    assert "fraul*".startswith(stem[:-1]) and stem.endswith("*")
+    assert model.hits_of("fraulxyz") == ((0, 1.0),) and model.hits_of("fxaulxyz") == ()
+    assert ((model.score(texts) >= 0.3) == (y == 1)).mean() > 0.99
+
+
+def test_repeated_rows_and_very_long_texts(spark, toxic_model):
+    long = "w1ord " * 200_000
+    docs = spark.createDataFrame([(1, "idiot moron"), (1, "idiot moron"), (2, long), (3, long + "idiot stupid moron pathetic " * 500)], "doc_id long, text string")
+    found = [(r.doc_id, r.score) for r in toxicity.classify(docs, toxic_model).collect()]
+    assert len(found) == 4 and len({s for i, s in found if i == 1}) == 1 and dict(found)[2] < 0.3 < dict(found)[3]
+
+
 def test_toxicity_tables(spark, toxic_model):
     docs = spark.createDataFrame([(1, "idiot moron stupid idiot", 5), (2, "w1ord w2ord w3ord", 5), (3, "", 5), (4, None, 5), (None, "w1ord", 5)], "doc_id long, text string, score int")
     found = {r.doc_id: r for r in toxicity.classify(docs, toxic_model).collect()}
