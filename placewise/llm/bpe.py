@@ -1,7 +1,9 @@
 """Byte-level BPE by corpus-level merge replay, and its inverse.
 
-The distinct pre-tokens of a slice of the corpus are laid out as one long byte sequence. An
-inverted index goes from the rank of a token pair to the positions where that pair stands. Ranks
+The corpus that merges are replayed on is a slice of the table, half a megabyte of text: its distinct
+pre-tokens that the worker doesn't remember from slices before are laid out as one long byte sequence.
+(The distinct pre-tokens of a whole table grow with it, and joining their ids back to the texts would
+shuffle every token; merges never cross pre-tokens, so slices give the same ids.) An inverted index goes from the rank of a token pair to the positions where that pair stands. Ranks
 are replayed in ascending order; a merge touches only its two neighbours, whose new pairs are
 added to the index. Within a word this is the order of the usual encoder: lowest rank first, the
 leftmost of equal ranks first, and a lower rank that a merge brings about goes ahead of what is left.

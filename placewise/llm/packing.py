@@ -1,10 +1,10 @@
 """Best-fit packing of tokenized documents into fixed-length sequences.
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt by hash to packers of
-bounded size; each packer runs bounded-space best fit over its pieces, largest first: open bins
-stand in a bitset keyed by free space, a piece goes to the bin that it fills best, and when more
-than ``max_open`` bins are open the fullest closes. Best fit leaves at most one bin of a packer
-half empty or more, and a second round of the same packer joins those across packers.
+bounded size; each packer runs bounded-space online best fit over its pieces in the order of ids: open
+bins stand in a bitset keyed by free space, a piece goes to the bin that it fills best as soon as it
+comes, and when more than ``max_open`` bins are open the fullest closes. Bins that end half empty or
+more are joined across packers by a second round of the same packer.
 
 Edge cases: null or empty texts are one piece that holds the end token alone; a document of a
 multiple of ``capacity`` tokens has no empty last piece; repeated rows are packed once each;
@@ -29,7 +29,7 @@ from placewise.llm.common import batch_of, held, stash, text_slices
 
 CAPACITY = 2048
 #: Bins that a packer keeps open, and the pieces that it is dealt on average.
-MAX_OPEN = 32_768
+MAX_OPEN = 256
 PER_PACKER = 32_768
 #: Chunks whose ids a worker remembers.
 CACHE = 400_000
@@ -197,10 +197,10 @@ class Bins:
 
 
 def best_fit(items: DataFrame, group: str, size: str, order: list[str], capacity: int, max_open: int, bin_: str, at: str) -> DataFrame:
-    """Pack each group's rows apart, largest first; adds ``bin_`` (unique over groups) and ``at``."""
+    """Pack each group's rows apart, one by one in the given order; adds ``bin_`` (unique over groups) and ``at``."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(size, "descending"), *((c, "ascending") for c in order)])
+        rows = rows.sort_by([(c, "ascending") for c in order])
         bins = Bins(capacity, max_open)
         placed = [bins.place(n) for n in rows.column(size).to_pylist()]
         base = key[0].as_py() << 32
@@ -217,7 +217,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, max_open: int = MAX_OPEN,
     packers = max(1, -(-pieces.count() // per_packer))
     dealt = pieces.withColumn("_packer", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(packers)))
     placed = stash(best_fit(dealt, "_packer", "length", ["doc_id", "piece", "start"], capacity, max_open, "_bin", "_at").drop("_packer"))
-    # at most one bin of each packer is half full or less (more only if bins had to close): those are packed again
+    # best fit opens a bin only for what fits nowhere: few of a packer's bins are half full or less; those are packed again
     half = placed.groupBy("_bin").agg(F.sum("length").alias("_used")).where(F.col("_used") <= capacity // 2)
     half = half.withColumn("_group", F.shiftright("_bin", 32 + 15))
     moved = best_fit(half, "_group", "_used", ["_bin"], capacity, max_open, "_to", "_base").select("_bin", (-1 - F.col("_to")).alias("_to"), "_base")
