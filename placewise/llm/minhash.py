@@ -8,23 +8,27 @@ bins of two fingerprints give a likeness, corrected for low bits that are equal
 
 Edge cases: a text of fewer words is one shingle; texts without words (null, empty, blank) have
 the fingerprint of the empty shingle; equal texts have equal fingerprints; repeated rows stay and
-follow one another in ``next``; rows without an id come first; other columns don't matter.
+follow one another in ``next``; rows without an id come first; rows of one id (or of none) follow one
+another by a hash of their texts; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import batched
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 WORDS = 5
 #: Bins (a power of two) and stored bits of each.
 BIN_BITS, LOW_BITS = 7, 8
 BINS = 1 << BIN_BITS
 #: Whitespace that parts words: [\x20\x09-\x0D].
 _BLANK = "[ \\t\\n\\x0B\\f\\r]+"
-#: Rows that a block of the order of ids has on average; quantiles that the ids are cut at, at most.
-PER_BLOCK, QUANTILES = 2_000, 256
+#: Rows that a block of the order of ids has on average; blocks at most (their bounds, two numbers each, come to the driver and go to every task).
+PER_BLOCK, BLOCKS = 2_000, 16_384
 #: Probes of an empty bin before the least of all full bins' hashes decides.
 PROBES = 12
 #: Stands for a missing id.
@@ -92,49 +96,49 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return with_fingerprint(df, "text", "packed", words).select("doc_id", "packed", as_hex(F.col("packed")).alias("fingerprint"))
 
 
-def _blocks(ids: DataFrame, per_block: int) -> tuple[Column, DataFrame | None]:
-    """A column that cuts the order of ids (column _id) into blocks, and rows (_id, _before): the first id of a block and the block before it.
-
-    Blocks are quantile ranges, cut evenly into more if there are too many rows for ``QUANTILES`` of them."""
-    n = ids.count()
-    if not n:
-        return F.lit(0).cast("long"), None
-    cuts = max(1, min(QUANTILES, -(-n // per_block)))
-    fractions = [k / cuts for k in range(1, cuts)]
-    row = ids.agg(F.min("_id").alias("lo"), F.max("_id").alias("hi"), F.percentile_approx("_id", fractions, 20 * QUANTILES).alias("q") if fractions else F.array().alias("q")).first()
-    bounds = sorted({row.lo, *row.q})
-    subs = -(-n // (per_block * len(bounds)))
-    lows = F.array(*(F.lit(x).cast("long") for x in bounds))
-    highs = F.array(*(F.lit(x).cast("double") for x in [*bounds[1:], row.hi + 1]))
-    q = (F.size(F.filter(lows, lambda x: x <= F.col("_id"))) - 1).cast("int")
-    block = q.cast("long")
-    if subs > 1:
-        lo, hi = F.get(lows, q).cast("double"), F.get(highs, q)
-        block = block * subs + F.least(F.lit(subs - 1), F.floor((F.col("_id").cast("double") - lo) / (hi - lo) * subs)).cast("long")
-    firsts = ids.select("_id", block.alias("_block")).groupBy("_block").agg(F.min("_id").alias("_id"))
-    # as many rows as there are blocks: a single ordered list of them, small enough to send to every task
-    order = Window.orderBy("_block")
-    before = F.coalesce(F.lag("_block").over(order), F.max("_block").over(Window.partitionBy()))
-    return block, firsts.select("_id", before.alias("_before"))
+def _bounds(keys: DataFrame, per_block: int) -> list[tuple[int, int]]:
+    """The first (_id, _hash) of each block of the order of ``keys``, by range partitions of them alone (no texts)."""
+    blocks = min(BLOCKS, max(1, -(-keys.count() // per_block)))
+    ranged = keys.repartitionByRange(blocks, "_id", "_hash").groupBy(F.spark_partition_id().alias("_part")).agg(F.min(F.struct("_id", "_hash")).alias("_first"))
+    return sorted({(r._first._id, r._first._hash) for r in ranged.collect()})
+
+
+def _placed(bounds: list[tuple[int, int]]) -> tuple[Column, Column, Column, int]:
+    """Where a row (_id, _hash) stands among the bounds, in two steps of about their square root: its group, its place within (_group), whether it is that bound, and the width of groups."""
+    width = isqrt(len(bounds) - 1) + 1
+    groups = [list(some) for some in batched(bounds, width)]
+    one = "struct<i:bigint,h:bigint>"
+    as_json = lambda x: F.lit(json.dumps(x))
+    tops = F.from_json(as_json([{"i": i, "h": h} for (i, h), *_ in groups]), f"array<{one}>")
+    nested = F.from_json(as_json([[{"i": i, "h": h} for i, h in some] for some in groups]), f"array<array<{one}>>")
+    key = F.struct(F.col("_id").alias("i"), F.col("_hash").alias("h"))
+    group = (F.size(F.filter(tops, lambda x: x <= key)) - 1).cast("int")
+    within = F.size(F.filter(F.get(nested, F.col("_group")), lambda x: x <= key)) - 1
+    first = F.get(F.get(nested, F.col("_group")), F.col("_within").cast("int")) == key
+    return group, within, first, width
 
 
 def with_next(docs: DataFrame, per_block: int = PER_BLOCK) -> DataFrame:
     """Rows (doc_id, text, packed, next_text, next_packed): with the next document by id; after the last comes the first.
 
     Whole texts are shuffled once, by block; the first rows of each block go to the one before as well."""
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("_id"))
-    block, firsts = _blocks(ids, per_block)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("_id"))
-    own = with_fingerprint(own, "text", "packed").withColumn("_block", block)
-    if firsts is None:
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")).alias("_id")
+    hash_ = F.xxhash64("text").alias("_hash")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = own.select("doc_id", "text", id_, hash_)
+    bounds = _bounds(own.select("_id", "_hash"), per_block)
+    own = with_fingerprint(own, "text", "packed")
+    if not bounds:
         return own.select("doc_id", "text", "packed", F.col("text").alias("next_text"), F.col("packed").alias("next_packed"))
-    joined = own.join(F.broadcast(firsts), "_id", "left")
-    # (block, guest): a row in its own block, and a first row in the block before as well
-    places = F.when(F.col("_before").isNull(), F.array(F.struct(F.col("_block").alias("at"), F.lit(False).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("_block").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("_before").alias("at"), F.lit(True).alias("guest")))
-    )
-    placed = joined.select("doc_id", "text", "packed", "_id", F.explode(places).alias("_p")).select("doc_id", "text", "packed", "_id", F.col("_p.at").alias("_at"), F.col("_p.guest").alias("_guest"))
-    order = Window.partitionBy("_at").orderBy("_guest", "_id", "text")
+    group, within, first, width = _placed(bounds)
+    own = own.withColumn("_group", group).withColumn("_within", within).withColumn("_first", first)
+    block = F.col("_group") * width + F.col("_within")
+    # (block, guest): a row in its own block, and a first row in the block before as well; before the first block comes the last
+    home = F.struct(block.alias("at"), F.lit(False).alias("guest"))
+    away = F.struct(F.pmod(block - 1, F.lit(len(bounds))).alias("at"), F.lit(True).alias("guest"))
+    placed = own.select("doc_id", "text", "packed", "_id", "_hash", F.explode(F.when(F.col("_first"), F.array(home, away)).otherwise(F.array(home))).alias("_p"))
+    placed = placed.select("doc_id", "text", "packed", "_id", "_hash", F.col("_p.at").alias("_at"), F.col("_p.guest").alias("_guest"))
+    order = Window.partitionBy("_at").orderBy("_guest", "_id", "_hash", "text")
     led = placed.select("doc_id", "text", "packed", "_guest", F.lead("text").over(order).alias("next_text"), F.lead("packed").over(order).alias("next_packed"))
     return led.where(~F.col("_guest")).drop("_guest")
 

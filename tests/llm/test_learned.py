@@ -217,15 +217,34 @@ def test_minhash_against_exact_likeness(spark):
     assert minhash.compare_with_edits(docs.limit(0)).count() == 0
 
 
-def test_minhash_blocks_of_crowded_ids(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "QUANTILES", 2)
+@pytest.mark.parametrize("blocks", [1, 3, 16_384])
+def test_minhash_blocks_of_crowded_ids(spark, monkeypatch, blocks):
+    monkeypatch.setattr(minhash, "BLOCKS", blocks)
     ids = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 1000, 10**12, None, -5]
-    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").repartition(3)
     found = {r.doc_id: r.next_text for r in minhash.with_next(docs, per_block=2).collect()}
     order = [None, *sorted(i for i in ids if i is not None)]
     assert found == {i: f"text {order[(k + 1) % len(order)]}" for k, i in enumerate(order)}
 
 
+def test_minhash_rows_without_an_id_are_dealt_out(spark):
+    rows = [(None, f"none {k}") for k in range(300)] + [(7, f"seven {k}") for k in range(300)] + [(8, "eight")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r.text, r.next_text) for r in minhash.with_next(docs, per_block=10).collect()]
+    assert sorted(t for t, _ in found) == sorted(n for _, n in found) == sorted(t for _, t in rows)
+    follow = {t: n for t, n in found if t != "eight"}
+    at, seen = min(follow), []
+    while at in follow and at not in seen:
+        seen.append(at)
+        at = follow[at]
+    assert at == "eight"
+    keys = docs.selectExpr("coalesce(doc_id, -9223372036854775808) _id", "xxhash64(text) _hash")
+    bounds = minhash._bounds(keys, 10)
+    group, within, first, width = minhash._placed(bounds)
+    sizes = keys.withColumn("_group", group).withColumn("_within", within).groupBy(F.col("_group") * width + F.col("_within")).count()
+    assert len(bounds) > 30 and sizes.agg(F.max("count")).first()[0] < 60
+
+
 def test_likeness_column(spark):
     a, b = F.array(F.lit(0x0102030405060708)), F.array(F.lit(0x0102030405060709))
     monkey = spark.range(1).select(minhash.likeness(a, a).alias("x"), minhash.likeness(a, b).alias("y")).first()
