@@ -10,10 +10,11 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placewise.durable import cut, discard, shared_dir, stash
 
-__all__ = ["batch_of", "cut", "discard", "held", "shared_dir", "ship", "stash", "table", "text_slices"]
+__all__ = ["batch_of", "bounded", "cut", "discard", "held", "held_against", "shared_dir", "ship", "stash", "table", "text_slices"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -68,3 +69,31 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", size: int = 1 << 20
 def batch_of(fields, columns: dict) -> pa.RecordBatch:
     """A record batch of the given Arrow fields."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in fields], schema=pa.schema(fields))
+
+
+#: Rows that are sent to every task at most; above that a join deals both sides out.
+SMALL = 400_000
+#: Members of one text that a task compares with it, about.
+PER_TASK = 100
+
+
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows, to be sent to every task if there are few."""
+    return F.broadcast(df) if rows <= SMALL else df
+
+
+def held_against(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows (other_id, kind, doc_id, text), sorted within partitions: for each other_id of ``pairs`` (doc_id, other_id) its own text (kind 0), then those of its members (kind 1).
+
+    Members of a crowded other_id are dealt out, its text goes to each of their tasks."""
+    n_pairs = pairs.count()
+    crowded = stash(pairs.groupBy("other_id").count().where(F.col("count") > PER_TASK).select("other_id", F.ceil(F.col("count") / float(PER_TASK)).cast("int").alias("salts")))
+    salted = pairs.join(bounded(crowded, n_pairs // PER_TASK), "other_id", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    members = salted.select("doc_id", "other_id", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"))
+    heads = salted.select("other_id", "salts").distinct().select(
+        F.col("other_id").alias("doc_id"), "other_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind")
+    )
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = docs.join(bounded(members.unionByName(heads), 2 * n_pairs), "doc_id")
+    met = met.repartition(width, "other_id", "salt").sortWithinPartitions("other_id", "salt", "kind", "doc_id")
+    return met.select("other_id", "kind", "doc_id", "text")
