@@ -1,119 +1,138 @@
-"""Parsing of free-text address queries (TXT09, TXT10).
+"""Parsing of free-text address queries (TXT09, TXT10), as Column expressions.
 
-A query's tokens are classified by form; a fold over the classified tokens fills the slots of the
-parse. The fold depends on order, so it runs as a vectorised UDF over the (short) queries; corpora
-are never parsed by it.
+Every token gets the first kind whose form it has; the slots of the parse are then read off the array
+of tokens: first or last of a kind, what follows an anchor, what a fold leaves of the road's parts.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-# ---- fixed values: bounds, and the forms of tokens ----
+from placewise.functions import text
+
+# ---- fixed values: bounds, and the forms of tokens, tried in this order ----
 MAX_TERMS = 8
 LARGEST = 99_999
-_TYPES = {"main": T.IntegerType(), "sub": T.IntegerType(), "terms": T.ArrayType(T.StringType()), "san": T.BooleanType(), "adjacent": T.BooleanType()}
-#: The slots of a parse; texts unless a type is given.
-SCHEMA = T.StructType([T.StructField(n, _TYPES.get(n, T.StringType())) for n in ("road", "main", "sub", "terms", "dong", "ri", "san", "bld_dong", "zipcode", "adjacent")])
-
-_SPLIT = re.compile(r"[\s,()\[\]{}]+")
-_NUMBER = re.compile(r"(산)?(\d+)(?:-(\d+))?")
-_ROAD_NUMBER = re.compile(r"(.+(?:로|길))(\d+)(?:-(\d+))?")
-_AREA_NUMBER = re.compile(r"(\d*[가-힣]\S*?(?:동|리|읍|면|가))(산)?(\d+)(?:-(\d+))?")
-_AREA = re.compile(r".*(?:[동리읍면]|\d가)")
-_REPEAT = re.compile(r"(.+?)\1+")
-
-
-class _Slots:
-    """What a query's tokens have filled so far."""
-
-    def __init__(self) -> None:
-        self.road = self.dong = self.ri = self.bld_dong = self.zipcode = None
-        self.number: tuple[int, int] | None = None
-        self.san = self.adjacent = self.zip_adjacent = self.anchored = False
-        self.terms: dict[str, None] = {}
-
-    def add_number(self, main: str, sub: str | None, adjacent: bool) -> None:
-        pair = int(main), int(sub or 0)
-        if self.number is None and max(pair) <= LARGEST:
-            self.number, self.adjacent = pair, adjacent
-
-    def add_road(self, part: str) -> None:
-        part = re.sub(r"[.\s]", "", part)
-        if part and part not in (self.road or ""):
-            self.road = (self.road or "") + part
-
-    def add_name(self, token: str) -> None:
-        word = re.sub(r"[^\w가-힣]", "", token)
-        if not word:
-            return
-        if self.bld_dong is None and re.fullmatch(r"\d+동", word):
-            self.bld_dong, self.anchored = word, False
-            return
-        area = len(word) >= 2 and _AREA.fullmatch(word) is not None
-        if self.dong is None and area:
-            self.dong = word
-        elif self.dong not in (None, word) and self.ri is None and len(word) >= 2 and word.endswith("리"):
-            self.ri = word
-        self.anchored = area
-        self.terms[word] = None
-
-    def take(self, token: str) -> None:
-        if token == "산":
-            self.san = True
-        elif self.zipcode is None and re.fullmatch(r"\d{5}", token):
-            self.zipcode, self.zip_adjacent, self.anchored = token, self.anchored, False
-        elif m := _NUMBER.fullmatch(token):
-            self.san |= bool(m[1])
-            self.add_number(m[2], m[3], self.anchored)
-            self.anchored = False
-        elif m := _ROAD_NUMBER.fullmatch(token):
-            self.add_road(m[1])
-            self.add_number(m[2], m[3], True)
-            self.anchored = True
-        elif token.endswith(("로", "길")):
-            self.add_road(token)
-            self.anchored = True
-        elif m := _AREA_NUMBER.fullmatch(token):
-            self.san |= bool(m[2])
-            self.add_number(m[3], m[4], True)
-            self.add_name(m[1])
-        else:
-            self.add_name(token)
-
-    def result(self) -> tuple:
-        if self.zipcode and self.number is None and (self.road or self.dong):
-            self.number, self.zipcode, self.adjacent = (int(self.zipcode), 0), None, self.zip_adjacent
-        if self.road and (m := _REPEAT.fullmatch(self.road)):
-            self.road = m[1]
-        main, sub = self.number or (None, None)
-        return self.road, main, sub, list(self.terms)[:MAX_TERMS], self.dong, self.ri, self.san, self.bld_dong, self.zipcode, self.adjacent
-
-
-def parse_one(query: str | None) -> tuple:
-    """The slots of one query, in the order of ``SCHEMA``."""
-    text = re.sub(r"(?<=\d)\.(?=\d)", "", unicodedata.normalize("NFC", query or ""))
-    slots = _Slots()
-    for token in _SPLIT.split(text):
-        if token := token.strip(".·;:'\""):
-            slots.take(token)
-    return slots.result()
-
-
-@F.pandas_udf(SCHEMA)
-def parse_query(q: pd.Series) -> pd.DataFrame:
-    out = pd.DataFrame([parse_one(x) for x in q], columns=SCHEMA.names)
-    for c in ("main", "sub"):
-        out[c] = out[c].astype("Int32")
+KINDS = {
+    "mountain": "^산$",
+    "zip": r"^\d{5}$",
+    "number": r"^(산?)(\d+)(?:-(\d+))?$",
+    "road_number": r"^(.+[로길])(\d+)(?:-(\d+))?$",
+    "road": "[로길]$",
+    "area_number": r"^(?=.*[가-힣])(.*?[동리읍면가])(산?)(\d+)(?:-(\d+))?$",
+}
+SEPARATORS = r"[\s,()\[\]{}]+"
+AROUND_TOKENS = ".·;:'\""
+AREA = r"(?:[동리읍면]|\d가)$"
+BUILDING = r"^\d+동$"
+
+#: Where the kinds of tokens with a number keep the name, the mountain mark, the main and the sub number (groups; 0: none).
+_GROUPS = {"number": (0, 1, 2, 3), "road_number": (1, 0, 2, 3), "area_number": (1, 2, 3, 4)}
+FIELDS = ["road", "main", "sub", "terms", "dong", "ri", "san", "bld_dong", "zipcode", "adjacent"]
+
+
+def _choose(kind: Column, of: dict[str, Column], default: Column) -> Column:
+    out = default
+    for name, value in of.items():
+        out = F.when(kind == name, value).otherwise(out)
     return out
 
 
+def _token(t: Column) -> Column:
+    """struct(kind, word, mark, main, sub) of one token."""
+    kind = F.lit("word")
+    for name, form in reversed(KINDS.items()):
+        kind = F.when(t.rlike(form), name).otherwise(kind)
+
+    def group(k: int, default: Column) -> Column:
+        return _choose(kind, {name: F.regexp_extract(t, KINDS[name], g[k]) for name, g in _GROUPS.items() if g[k]}, default)
+
+    def number(k: int) -> Column:
+        digits = F.regexp_replace(group(k, F.lit("")), "^0+(?=.)", "")
+        return F.when(F.length(digits).between(1, 9), digits.cast("int")).when(F.length(digits) > 9, LARGEST + 1)
+
+    name = group(0, t)
+    word = F.when(kind.isin("road", "road_number"), F.regexp_replace(name, r"[.\s]", "")).when(kind.isin("word", "area_number"), F.regexp_replace(name, r"[^\p{L}\p{N}_]", "")).otherwise(name)
+    return F.struct(kind.alias("kind"), word.alias("word"), (group(1, F.lit("")) != "").alias("mark"), number(2).alias("main"), F.coalesce(number(3), F.lit(0)).alias("sub"))
+
+
+def _bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _first(tokens: Column, which) -> Column:
+    return F.get(F.filter(tokens, which), 0)
+
+
+def _is_name(x: Column) -> Column:
+    return x["kind"].isin("word", "area_number")
+
+
+def _is_area(x: Column) -> Column:
+    return _is_name(x) & (F.length(x["word"]) >= 2) & x["word"].rlike(AREA)
+
+
+def _with_places(tokens: Column) -> Column:
+    """Tokens with their place, and without those that only mark a mountain or hold no word; of zip codes all but the first are numbers."""
+    kept = F.filter(tokens, lambda x: (x["kind"] != "mountain") & ~(_is_name(x) & (x["word"] == "")))
+
+    def placed(ts: Column) -> Column:
+        zips = F.array_position(F.transform(ts, lambda x: x["kind"]), "zip")
+
+        def one(x: Column, i: Column) -> Column:
+            again = (x["kind"] == "zip") & (i + 1 != zips)
+            return F.struct(
+                i.alias("at"), F.when(again, "number").otherwise(x["kind"]).alias("kind"), x["word"].alias("word"), x["mark"].alias("mark"),
+                F.when(again, x["word"].cast("int")).otherwise(x["main"]).alias("main"), x["sub"].alias("sub"),
+            )
+
+        return F.transform(ts, one)
+
+    return _bind(kept, placed)
+
+
+def _slots(tokens: Column, mountain: Column) -> Column:
+    building = _first(tokens, lambda x: _is_name(x) & x["word"].rlike(BUILDING))
+    names = F.filter(tokens, lambda x: _is_name(x) & ~F.coalesce(x["at"] == building["at"], F.lit(False)))
+    zipped = _first(tokens, lambda x: x["kind"] == "zip")
+    number = _first(tokens, lambda x: x["main"].isNotNull() & (x["main"] <= LARGEST) & (x["sub"] <= LARGEST))
+    dong = _first(names, _is_area)
+    ri = _first(names, lambda x: (x["at"] > dong["at"]) & (x["word"] != dong["word"]) & (F.length(x["word"]) >= 2) & x["word"].endswith("리"))
+    parts = F.transform(F.filter(tokens, lambda x: x["kind"].isin("road", "road_number")), lambda x: x["word"])
+    road = F.aggregate(parts, F.lit(""), lambda all_, part: F.when(F.contains(all_, part), all_).otherwise(F.concat(all_, part)))
+    road = F.nullif(F.regexp_replace(road, r"^(.+?)\1+$", "$1"), F.lit(""))
+    anchors = F.filter(tokens, lambda x: x["kind"].isin("road", "road_number") | (_is_area(x) & ~F.coalesce(x["at"] == building["at"], F.lit(False))))
+    anchored = lambda x: F.coalesce(F.exists(anchors, lambda a: a["at"] == x["at"] - 1), F.lit(False))
+    found = F.struct(
+        road.alias("road"), number.alias("number"), dong["word"].alias("dong"), ri["word"].alias("ri"), building["word"].alias("building"), zipped["word"].alias("zip"),
+        F.coalesce((number["kind"] != "number") | anchored(number), F.lit(False)).alias("adjacent"), anchored(zipped).alias("zip_adjacent"),
+        F.slice(F.array_distinct(F.transform(names, lambda x: x["word"])), 1, MAX_TERMS).alias("terms"),
+        (mountain | F.exists(tokens, lambda x: x["mark"])).alias("san"),
+    )
+
+    def settled(f: Column) -> Column:
+        # five digits after a road or a district are its number, if there is no other
+        promoted = f["zip"].isNotNull() & f["number"].isNull() & (f["road"].isNotNull() | f["dong"].isNotNull())
+        values = {
+            "road": f["road"], "main": F.when(promoted, f["zip"].cast("int")).otherwise(f["number"]["main"]), "sub": F.when(promoted, 0).otherwise(f["number"]["sub"]), "terms": f["terms"],
+            "dong": f["dong"], "ri": f["ri"], "san": f["san"], "bld_dong": f["building"], "zipcode": F.when(~promoted, f["zip"]), "adjacent": F.when(promoted, f["zip_adjacent"]).otherwise(f["adjacent"]),
+        }
+        return F.struct(*(values[name].alias(name) for name in FIELDS))
+
+    return _bind(found, settled)
+
+
+def parse_query(q: Column | str) -> Column:
+    """TXT09: struct(road, main, sub, terms, dong, ri, san, bld_dong, zipcode, adjacent) of a query; a null one parses as an empty one."""
+    q = F.col(q) if isinstance(q, str) else q
+    joined = F.regexp_replace(F.coalesce(text.nfc(q), F.lit("")), r"(?<=\d)\.(?=\d)", "")
+    tokens = F.filter(F.transform(F.split(joined, SEPARATORS), lambda t: F.btrim(t, F.lit(AROUND_TOKENS))), lambda t: t != "")
+    classified = F.transform(tokens, _token)
+    return _bind(classified, lambda ts: _bind(_with_places(ts), lambda placed: _slots(placed, F.exists(ts, lambda x: x["kind"] == "mountain"))))
+
+
 def address_intent(p: Column) -> Column:
     """TXT10: a number stands right after what it belongs to, a district or a road."""
     return p["main"].isNotNull() & (p["dong"].isNotNull() | p["road"].isNotNull()) & p["adjacent"]

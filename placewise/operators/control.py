@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placewise.durable import cut
+
 
 def signatures(inputs: DataFrame) -> DataFrame:
     """FRS1: a signature of each target from its inputs (target, name, sha): the SHA-256 of their sorted lines."""
@@ -19,11 +21,19 @@ def signatures(inputs: DataFrame) -> DataFrame:
 
 
 def freshness(now: DataFrame, recorded: DataFrame, upstream: DataFrame) -> DataFrame:
-    """FRS1: targets (target, signature) against recorded ones: fresh, stale or missing; stale too if a target upstream (target, needs) isn't fresh."""
+    """FRS1: targets (target, signature) against recorded ones: fresh, stale or missing; stale too if any target that it needs (target, needs), directly or through others, isn't fresh."""
     state = F.when(F.col("was").isNull(), "missing").when(F.col("was") == F.col("signature"), "fresh").otherwise("stale")
     own = now.join(recorded.select("target", F.col("signature").alias("was")), "target", "left").select("target", state.alias("state"))
-    bad = upstream.join(own.where("state <> 'fresh'").select(F.col("target").alias("needs")), "needs", "left_semi").select("target").distinct().withColumn("_bad", F.lit(True))
-    j = own.join(bad, "target", "left")
+    # staleness goes on along the graph until nothing new turns stale; a graph of build targets is small
+    bad = cut(own.where("state <> 'fresh'").select("target"))
+    n = bad.count()
+    while True:
+        reached = upstream.join(bad.withColumnRenamed("target", "needs"), "needs", "left_semi").select("target")
+        bad, before = cut(bad.unionByName(reached).distinct()), n
+        n = bad.count()
+        if n == before:
+            break
+    j = own.join(bad.withColumn("_bad", F.lit(True)), "target", "left")
     return j.select("target", F.when(F.col("_bad") & (F.col("state") == "fresh"), "stale").otherwise(F.col("state")).alias("state"))
 
 

@@ -58,24 +58,50 @@ def approximate_exists(keys: DataFrame, parcels: DataFrame) -> DataFrame:
     return keys.join(known, ["bcode", "main"], "left").withColumn("o_apx", F.coalesce("o_apx", F.lit(False)))
 
 
-def classify(observations: DataFrame, tolerance: float = 100.0) -> DataFrame:
-    """CLS1: adds ``class``: E1, E2 or one of eleven classes that exclude each other, in order, and ``flags``, which don't.
-
-    Observations: e1, e2 (gates), addresses (count), d_top1, d_min5, oracle, o_apx, r_v, r_m (referee; null: absent)."""
-    none = F.col("addresses") == 0
-    found = F.col("oracle").isin("A", "A25", "A19")
-    v, m = F.col("r_v"), F.col("r_m")
-    cls = (
-        F.when(F.col("e1"), "E1").when(F.col("e2"), "E2")
-        .when(none & found, "1").when(none & (F.col("oracle") == "P"), "2").when(none & F.col("o_apx"), "3").when(none, "4")
-        .when(F.col("d_top1") <= tolerance, "5").when(F.col("d_min5") <= tolerance, "6")
-        .when(v.isNull() | m.isNull(), "11").when(~v & m, "7").when(v & ~m, "8").when(v & m, "9").otherwise("10")
-    )
-    flags = F.filter(F.array(
-        F.when(~none & (F.col("d_top1") > 10 * tolerance), "far"), F.when(~none & (F.col("d_min5") < F.col("d_top1")), "better_below"),
-        F.when(F.col("oracle") == "N", "not_in_registry"), F.when(none & F.col("o_apx"), "neighbour_exists"),
-    ), lambda x: x.isNotNull())
-    return observations.withColumn("class", cls).withColumn("flags", flags)
+#: Observations of the measurement and their types; those that a table lacks count as null.
+OBSERVED = {
+    "layer": "string", "e1": "boolean", "e2": "boolean", "addresses": "int", "other_kinds": "int", "d_top1": "double", "d_min5": "double", "tolerance": "double", "top1_nearest": "boolean",
+    "oracle": "string", "o_apx": "boolean", "r_v": "boolean", "r_m": "boolean", "code_ours": "string", "code_theirs": "string", "san_query": "boolean", "san_ours": "boolean",
+    "source": "string", "normalised": "boolean",
+}
+#: The layer of lots, the sources that stand in for addresses, and the oracle's answers that are addresses (fixed values).
+LOTS, STAND_INS, ADDRESSES = "jibun", ("navi", "parcel"), ("A", "A25", "A19")
+
+
+def classify(observations: DataFrame, relaxed: bool = True) -> DataFrame:
+    """CLS1: adds ``class``: E1, E2 or one of eleven classes that exclude each other, and ``flags`` F1 to F8, which don't.
+
+    Columns are those of ``OBSERVED``: the gates e1 and e2; addresses and other kinds answered; distances
+    and each row's own tolerance (an absent distance isn't within it); the oracle and whether a lot next
+    to it exists; the referee on their point (r_v) and ours (r_m), null where absent. ``relaxed`` takes
+    the codes of a merged province and its parts as equal."""
+    o = {name: F.col(name) if name in observations.columns else F.lit(None).cast(kind) for name, kind in OBSERVED.items()}
+
+    def sure(c: Column) -> Column:
+        return F.coalesce(c, F.lit(False))
+
+    none = sure(o["addresses"] == 0)
+    top, five = sure(o["d_top1"] <= o["tolerance"]), sure(o["d_min5"] <= o["tolerance"])
+    neighbour = sure(o["o_apx"]) & sure(o["layer"] == LOTS)
+    answered = F.when(top, "5").when(five, "6").when(o["r_v"].isNull() | o["r_m"].isNull(), "11")
+    answered = answered.when(o["r_v"] & o["r_m"], "9").when(o["r_v"], "8").when(o["r_m"], "7").otherwise("10")
+    silent = F.when(o["oracle"].isin(*ADDRESSES), "1").when(o["oracle"] == "P", "2").when(neighbour, "3").otherwise("4")
+    gate = F.when(sure(o["e1"]), "E1").when(sure(o["e2"]), "E2")
+    ours, theirs = F.nullif(o["code_ours"], F.lit("")), F.nullif(o["code_theirs"], F.lit(""))
+    strict, loose = (sure(text.district_code_matches(ours, theirs, x)) for x in (False, True))
+    both = ours.isNotNull() & theirs.isNotNull()
+    flags = {
+        "F1": both & ~(loose if relaxed else strict),  # another district
+        "F2": none & sure(o["other_kinds"] > 0),  # answers, but no address
+        "F3": five & ~F.coalesce(o["top1_nearest"], F.lit(True)),  # a nearer one ranks below
+        "F4": sure(o["san_query"]) != sure(o["san_ours"]),  # a mountain lot for a plain one, or the reverse
+        "F5": sure(o["source"].isin(*STAND_INS)),  # not from the addresses
+        "F6": both & loose & ~strict if relaxed else F.lit(False),  # equal only since a province merged
+        "F7": sure(o["normalised"]),  # normalisation changed a value
+        "F8": ~none & sure(o["oracle"] == "P") & sure(o["source"] == "parcel"),  # a parcel for a parcel
+    }
+    named = F.filter(F.array(*(F.when(c, name) for name, c in flags.items())), lambda x: x.isNotNull())
+    return observations.withColumn("class", F.coalesce(gate, F.when(none, silent).otherwise(answered))).withColumn("flags", named)
 
 
 def class_table(classified: DataFrame, stratum: str) -> DataFrame:

@@ -28,20 +28,26 @@ class Store:
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _numbers(self, name: str) -> list[int]:
+        """Numbers of the pointers of a name, in order."""
+        found = self.fs.globStatus(self._at(f"{name}.[0-9]*"))
+        return sorted(int(s.getPath().getName().rsplit(".", 1)[-1]) for s in found) if found else []
+
     def _pointer(self, name: str) -> str | None:
-        if not self.fs.exists(self._at(name)):
-            return None
-        return self.spark.read.text(f"{self.path}/{name}").first()[0]
+        numbers = self._numbers(name)
+        return self.spark.read.text(f"{self.path}/{name}.{numbers[-1]}").first()[0] if numbers else None
 
     def _point(self, name: str, version: str) -> None:
         temporary = self._at(f"_{name}-{uuid.uuid4().hex}")
         stream = self.fs.create(temporary, True)
         stream.write(bytearray(version.encode()))
         stream.close()
-        if self.fs.exists(self._at(name)):
-            self.fs.delete(self._at(name), False)
-        if not self.fs.rename(temporary, self._at(name)):
+        # the largest number counts, so that there is no moment without a pointer; older ones go afterwards
+        numbers = self._numbers(name)
+        if not self.fs.rename(temporary, self._at(f"{name}.{numbers[-1] + 1 if numbers else 1}")):
             raise OSError("the pointer didn't move")
+        for old in numbers[:-1]:
+            self.fs.delete(self._at(f"{name}.{old}"), False)
 
     def current(self) -> str | None:
         return self._pointer("CURRENT")
@@ -101,8 +107,13 @@ def insert_ignore(table: DataFrame, staged: DataFrame, keys: list[str], order: l
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """SNK06: rows go ahead of the table's of the same key."""
-    return table.join(rows.select(*keys), keys, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
+    """SNK06: rows go ahead of the table's of the same key; of rows that share a key the greatest by all columns stays, null keys each."""
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    rows = rows.select(*table.columns)
+    one = rows.where(known).groupBy(*keys).agg(F.max(F.struct(*table.columns)).alias("_row")).select("_row.*").unionByName(rows.where(~known))
+    return table.join(one.select(*keys), keys, "left_anti").select(*table.columns).unionByName(one)
 
 
 def replace_where(table: DataFrame, rows: DataFrame, column: str) -> DataFrame:

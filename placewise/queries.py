@@ -516,18 +516,37 @@ def near_dup_collapse(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.collapse(ranked, 10)
 
 
+# The SQL follows the rules as SURVEY's CLS1 names them: groups of silence, tolerance and referee, each class by its own condition.
 @query("""
-SELECT class, count(*)::BIGINT AS n FROM (SELECT CASE WHEN o_orderkey % 101 = 0 THEN 'E1' WHEN o_orderkey % 103 = 0 THEN 'E2' WHEN a = 0 AND orc IN ('A', 'A25', 'A19') THEN '1' WHEN a = 0 AND orc = 'P' THEN '2' WHEN a = 0 AND apx THEN '3' WHEN a = 0 THEN '4'
-  WHEN d1 <= 100 THEN '5' WHEN d5 <= 100 THEN '6' WHEN v IS NULL OR m IS NULL THEN '11' WHEN NOT v AND m THEN '7' WHEN v AND NOT m THEN '8' WHEN v AND m THEN '9' ELSE '10' END AS class
-FROM (SELECT o_orderkey, o_orderkey % 4 AS a, ['A', 'A25', 'A19', 'P', 'N'][1 + (o_orderkey % 5)::INT] AS orc, o_orderkey % 2 = 0 AS apx, (o_orderkey % 300)::DOUBLE AS d1, (o_orderkey % 150)::DOUBLE AS d5,
-  CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 7 < 3 END AS v, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 13 < 5 END AS m FROM orders)) GROUP BY 1""")
+WITH seen AS (
+  SELECT o_orderkey AS k, o_orderkey % 101 = 0 AS e1, o_orderkey % 103 = 0 AS e2, o_orderkey % 4 AS addresses, o_orderkey % 3 AS others,
+    ['A', 'A25', 'A19', 'P', 'N'][1 + (o_orderkey % 5)::INT] AS oracle, o_orderkey % 2 = 0 AS apx, o_orderpriority AS priority,
+    CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 300)::DOUBLE END AS d1, (o_orderkey % 150)::DOUBLE AS d5, CASE WHEN o_orderstatus = 'F' THEN 100.0 ELSE 40.0 END AS tol,
+    CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 7 < 3 END AS v, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderkey % 13 < 5 END AS m FROM orders),
+grouped AS (
+  SELECT *, addresses = 0 AS silent, coalesce(d1 <= tol, FALSE) AS near1, d5 <= tol AS near5, priority = '1-URGENT' AS lots FROM seen),
+labelled AS (
+  SELECT *, CASE
+    WHEN silent AND oracle IN ('A', 'A25', 'A19') THEN '1' WHEN silent AND oracle = 'P' THEN '2'
+    WHEN silent AND oracle = 'N' AND apx AND lots THEN '3' WHEN silent AND oracle = 'N' AND NOT (apx AND lots) THEN '4'
+    WHEN NOT silent AND near1 THEN '5' WHEN NOT silent AND NOT near1 AND near5 THEN '6'
+    WHEN v IS NULL OR m IS NULL THEN '11' WHEN NOT v AND m THEN '7' WHEN v AND NOT m THEN '8' WHEN v AND m THEN '9' ELSE '10' END AS c FROM grouped)
+SELECT CASE WHEN e1 THEN 'E1' WHEN e2 THEN 'E2' ELSE c END AS class, count(*)::BIGINT AS n,
+  count(*) FILTER (WHERE silent AND others > 0)::BIGINT AS f2, count(*) FILTER (WHERE near5 AND k % 3 = 0)::BIGINT AS f3,
+  count(*) FILTER (WHERE (k % 8 = 0) <> (k % 12 = 0))::BIGINT AS f4, count(*) FILTER (WHERE NOT silent AND oracle = 'P' AND k % 2 = 1)::BIGINT AS f8
+FROM labelled GROUP BY 1""")
 def excl_classes(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     o = t(spark, sf, "orders").select(
-        (k % 101 == 0).alias("e1"), (k % 103 == 0).alias("e2"), (k % 4).alias("addresses"), F.get(F.array(*map(F.lit, ("A", "A25", "A19", "P", "N"))), (k % 5).cast("int")).alias("oracle"),
-        (k % 2 == 0).alias("o_apx"), (k % 300).cast("double").alias("d_top1"), (k % 150).cast("double").alias("d_min5"), F.when(k % 6 != 0, k % 7 < 3).alias("r_v"), F.when(k % 11 != 0, k % 13 < 5).alias("r_m"),
+        (k % 101 == 0).alias("e1"), (k % 103 == 0).alias("e2"), (k % 4).alias("addresses"), (k % 3).alias("other_kinds"),
+        F.get(F.array(*map(F.lit, ("A", "A25", "A19", "P", "N"))), (k % 5).cast("int")).alias("oracle"),
+        (k % 2 == 0).alias("o_apx"), F.when(F.col("o_orderpriority") == "1-URGENT", measure.LOTS).otherwise("road").alias("layer"),
+        F.when(k % 9 != 0, (k % 300).cast("double")).alias("d_top1"), (k % 150).cast("double").alias("d_min5"), F.when(F.col("o_orderstatus") == "F", 100.0).otherwise(40.0).alias("tolerance"),
+        F.when(k % 6 != 0, k % 7 < 3).alias("r_v"), F.when(k % 11 != 0, k % 13 < 5).alias("r_m"), (k % 3 != 0).alias("top1_nearest"),
+        (k % 8 == 0).alias("san_query"), (k % 12 == 0).alias("san_ours"), F.when(k % 2 == 1, "parcel").otherwise("addr").alias("source"),
     )
-    return measure.classify(o).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    has = lambda f: F.count_if(F.array_contains("flags", f))
+    return measure.classify(o).groupBy("class").agg(F.count(F.lit(1)).alias("n"), *(has(f).alias(f.lower()) for f in ("F2", "F3", "F4", "F8")))
 
 
 @query("""

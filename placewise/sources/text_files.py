@@ -14,8 +14,6 @@ from pyspark.sql import types as T
 
 #: Encodings that are tried in this order (fixed values).
 ENCODINGS = ["utf-8-sig", "cp949", "euc-kr", "utf-8"]
-#: Bytes of a file that are looked at to tell its encoding.
-SNIFFED = 1 << 20
 
 
 def fixed_positions(spark: SparkSession, path: str, names: dict[int, str], width: int, encoding: str = "CP949", separator: str = "|") -> tuple[DataFrame, DataFrame]:
@@ -32,31 +30,29 @@ def fixed_positions(spark: SparkSession, path: str, names: dict[int, str], width
     return kept, counts
 
 
-def encoding_of(data: bytes, whole: bool = True) -> str:
-    """SRC03: the first encoding that reads the bytes; of a file's beginning the last character may be cut."""
+def encoding_of(data: bytes) -> str:
+    """SRC03: the first encoding that reads all the bytes."""
     for name in ENCODINGS:
-        for cut in (0,) if whole else (0, 1, 2, 3):
-            try:
-                (data[: len(data) - cut] if cut else data).decode(name)
-                return name
-            except UnicodeDecodeError:
-                continue
+        try:
+            data.decode(name)
+            return name
+        except UnicodeDecodeError:
+            continue
     raise ValueError("no known encoding")
 
 
 def read_csv(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
     """SRC02 to SRC04: CSV files with a header, each in its own encoding, as text columns by name, with ``file`` and ``folder``.
 
-    Encodings are told from the first bytes of every file, on the executors; then there is one read for each encoding and header."""
+    Encodings are told from all bytes of every file, on the executors (a file has to fit there); then there is one read for each encoding and header."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).option("pathGlobFilter", "*.csv").load(path)
-    heads = files.select("path", "length", F.substring("content", 1, SNIFFED).alias("head"))
 
     @F.udf("string")
-    def told(head: bytes, length: int) -> str:
-        return encoding_of(bytes(head), len(head) >= length)
+    def told(content: bytes) -> str:
+        return encoding_of(bytes(content))
 
     kinds: dict[str, list[str]] = {}
-    for row in heads.select("path", told("head", "length").alias("encoding")).collect():  # one short row a file
+    for row in files.select("path", told("content").alias("encoding")).collect():  # one short row a file
         kinds.setdefault(row.encoding, []).append(row.path)
     out = None
     for encoding, paths in sorted(kinds.items()):

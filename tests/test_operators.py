@@ -251,6 +251,16 @@ def test_measurement(spark):
     assert rows(measure.rescored(pairs), "no", "base_ok", "rule_ok") == [(1, False, True), (2, False, False), (3, False, False)]
 
 
+def test_classes_and_flags(spark):
+    fields = "layer string, addresses int, oracle string, o_apx boolean, d_top1 double, d_min5 double, tolerance double, code_ours string, code_theirs string"
+    cases = [
+        ("jibun", 0, "N", True, None, None, 9.0, None, None), ("road", 0, "N", True, None, None, 9.0, "1100000000", ""), ("road", 1, "N", True, None, 9.0, 9.0, "1100000000", "1200000000"),
+        ("road", 1, "N", True, 9.0, 9.0, 8.0, "1100000000", "1100000000"),
+    ]
+    found = measure.classify(spark.createDataFrame(cases, fields)).collect()
+    assert [(r["class"], r.flags) for r in found] == [("3", []), ("4", []), ("6", ["F1"]), ("11", [])]
+
+
 def test_control(spark, tmp_path):
     steps = [("schema", [], lambda: 1), ("load", ["schema"], lambda: 1 / 0), ("swap", ["load"], lambda: 2), ("other", [], lambda: 3)]
     assert rows(control.run_steps(spark, steps), "step", "status") == [("load", "failed"), ("other", "ok"), ("schema", "ok"), ("swap", "skipped")]
@@ -258,6 +268,12 @@ def test_control(spark, tmp_path):
     was = spark.createDataFrame([("a", "0"), ("b", "2")], "target string, signature string")
     up = spark.createDataFrame([("b", "a")], "target string, needs string")
     assert rows(control.freshness(now, was, up), "target", "state") == [("a", "stale"), ("b", "stale"), ("c", "missing")]
+    chain = spark.createDataFrame([("d", "b"), ("e", "d"), ("b", "a"), ("a", "e")], "target string, needs string")
+    more = spark.createDataFrame([("a", "0"), ("b", "2"), ("d", "4"), ("e", "5"), ("f", "6")], "target string, signature string")
+    assert [s for _, s in rows(control.freshness(more.replace("0", "1"), more, chain), "target", "state")] == ["stale"] * 4 + ["fresh"]
+    twice = spark.createDataFrame([(1, "b"), (1, "c"), (None, "x"), (None, "x")], "k int, v string")
+    table = spark.createDataFrame([(1, "a"), (2, "z")], "k int, v string")
+    assert sorted(publish.upsert(table, twice, ["k"]).collect(), key=str) == sorted([(1, "c"), (2, "z"), (None, "x"), (None, "x")], key=str)
     (tmp_path / "f").write_text("x")
     (tmp_path / "empty").write_text("")
     store = control.Sources(str(tmp_path / "s"))
