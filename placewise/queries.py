@@ -114,10 +114,10 @@ def two_path_agreement(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT l_orderkey, l_partkey, p_name FROM lineitem JOIN (SELECT * FROM part QUALIFY row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) = 1) USING_P
-ON USING_P.p_partkey = l_partkey WHERE l_linenumber = 1""")
+ON USING_P.p_partkey = l_partkey""")
 def composite_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     first = relational.keep_first(t(spark, sf, "part"), ["p_brand", "p_size"], [F.col("p_partkey")]).select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    return t(spark, sf, "lineitem").where("l_linenumber = 1").join(first, "l_partkey").select("l_orderkey", "l_partkey", "p_name")
+    return t(spark, sf, "lineitem").join(first, "l_partkey").select("l_orderkey", "l_partkey", "p_name")
 
 
 @query("""
@@ -159,11 +159,11 @@ def stratified_md5_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, (row_number() OVER (PARTITION BY regexp_replace(lower(left(text, 40)), '[\\s.,]', '', 'g') ORDER BY CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END, doc_id) = 1)::INT AS is_primary
+SELECT doc_id, (row_number() OVER (PARTITION BY md5(regexp_replace(lower(text), '[\\s.,]', '', 'g')) ORDER BY CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END, doc_id) = 1)::INT AS is_primary
 FROM documents""")
 def primary_by_priority(spark: SparkSession, sf: str) -> DataFrame:
     order = F.when(F.col("source") == "src0", 0).when(F.col("source") == "src1", 1).otherwise(2)
-    key = F.regexp_replace(F.lower(F.substring("text", 1, 40)), r"[\s.,]", "")
+    key = F.md5(F.regexp_replace(F.lower("text"), r"[\s.,]", "").cast("binary"))
     return relational.with_primary(t(spark, sf, "documents"), [key], [order, F.col("doc_id")]).select("doc_id", "is_primary")
 
 
@@ -295,23 +295,25 @@ def three_valued_any(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- text ----
 
-_NORM = "trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g'))"
+_NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
 
 @query(f"""
-SELECT doc_id, {_NORM} AS squeezed, regexp_replace(left(text, 200), '[.\\s]', '', 'g') AS compacted, lower(regexp_replace(left(text, 200), '[\\s()\\[\\]{{}}<>（）【】·.,/&\\-]+', '', 'g')) AS keyed FROM documents""")
+SELECT doc_id, md5({_NORM}) AS squeezed, md5(regexp_replace(text, '[.\\s]', '', 'g')) AS compacted,
+  md5(lower(regexp_replace(text, '[\\s()\\[\\]{{}}<>（）【】·.,/&\\-]+', '', 'g'))) AS keyed FROM documents""")
 def text_norm_rules(spark: SparkSession, sf: str) -> DataFrame:
-    head = F.substring("text", 1, 200)
-    return t(spark, sf, "documents").select("doc_id", text.squeeze(head).alias("squeezed"), text.compact(head).alias("compacted"), text.business_key(head).alias("keyed"))
+    whole = F.col("text")
+    forms = {"squeezed": text.squeeze(whole), "compacted": text.compact(whole), "keyed": text.business_key(whole)}
+    return t(spark, sf, "documents").select("doc_id", *(F.md5(form.cast("binary")).alias(name) for name, form in forms.items()))
 
 
 @query("""
-WITH g AS (SELECT p_partkey, p_brand, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || p_name || ' ', i::BIGINT, 3))) AS t FROM part WHERE p_size <= 5)
-SELECT a.p_partkey AS a, b.p_partkey AS b, round(2.0::DOUBLE * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS sim FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""")
+WITH g AS (SELECT p_partkey, p_brand, p_size, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || p_name || ' ', i::BIGINT, 3))) AS t FROM part)
+SELECT a.p_partkey AS a, b.p_partkey AS b, round(2.0::DOUBLE * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS sim FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def trigram_dice(spark: SparkSession, sf: str) -> DataFrame:
-    p = t(spark, sf, "part").where("p_size <= 5").select("p_partkey", "p_brand", text.trigrams(F.col("p_name")).alias("t"))
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_brand", F.col("t").alias("ta")), p.select(F.col("p_partkey").alias("b"), "p_brand", F.col("t").alias("tb"))
-    return a.join(b, "p_brand").where("a < b").select("a", "b", F.round(text.dice(F.col("ta"), F.col("tb")), 6).alias("sim"))
+    p = t(spark, sf, "part").select("p_partkey", "p_brand", "p_size", text.trigrams(F.col("p_name")).alias("t"))
+    a, b = (p.select(F.col("p_partkey").alias(k), "p_brand", "p_size", F.col("t").alias(f"t{k}")) for k in "ab")
+    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(text.dice(F.col("ta"), F.col("tb")), 6).alias("sim"))
 
 
 @query("""
