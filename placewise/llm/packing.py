@@ -31,10 +31,12 @@ CAPACITY = 2048
 #: Bins that a packer keeps open, and the pieces that it is dealt on average.
 MAX_OPEN = 256
 PER_PACKER = 32_768
-#: Chunks whose ids a worker remembers.
-CACHE = 400_000
+#: Chunks, and words within them, whose ids a worker remembers.
+CACHE = 1_200_000
 #: A control character that stands alone between chunks that are encoded together.
 MARK = "\x01"
+#: The last Latin letter before the modifiers; none up to it is taken apart in normal form C.
+LATIN = "\u02af"
 
 PIECES = [
     pa.field("doc_id", pa.int64()), pa.field("piece", pa.int32()), pa.field("start", pa.int64()),
@@ -63,28 +65,28 @@ class ChunkEncoder:
         # two generations: what is not met again while the younger fills up is forgotten
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
-        self.bases: dict[str, bytes] = {"": b""}
-        self.older_bases: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, chunks: list[str]) -> None:
-        words = [w for w in chunks if w.isalpha() and w.islower() and is_normalized("NFC", w)]  # one pre-token each
+        known = self.known
+        # one pre-token each, unless one falls apart in lower case, which the count of ends tells
+        words = [w for w in chunks if w.isalpha() and is_normalized("NFC", w)]
         for k in range(0, len(words), 5000):
             part = words[k : k + 5000]
             ids = np.array(self._ids(" ".join(part)), "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):
                 raw = ids.tobytes()
-                self.bases.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
-        chunks = [c for c in chunks if c not in self.bases]
+                known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
+        chunks = [c for c in chunks if c not in known]
         alone = [c for c in chunks if MARK in c]
         together = [c for c in chunks if MARK not in c]
         if len(self.mark) != 1:
             alone, together = chunks, []
         for c in alone:
-            self.bases[c] = np.array(self._ids(c), "<u4").tobytes()
+            known[c] = np.array(self._ids(c), "<u4").tobytes()
         for k in range(0, len(together), 2000):
             part = together[k : k + 2000]
             ids = np.array(self._ids(f" {MARK} ".join(part)), "<u4")
@@ -93,14 +95,14 @@ class ChunkEncoder:
                 raise ValueError("the tokenizer does not keep chunks apart")
             raw = ids.tobytes()
             for c, a, b in zip(part, [0, *(e + 1 for e in ends)], [*ends, len(ids)], strict=True):
-                self.bases[c] = raw[4 * a : 4 * b]
+                known[c] = raw[4 * a : 4 * b]
 
     @staticmethod
     def _apart(chunk: str) -> tuple[str, str]:
-        """A chunk without the ASCII punctuation that follows its last letter, in lower case if it is ASCII, and that punctuation: pre-tokens of their own."""
+        """A chunk without the ASCII punctuation that follows its last Latin letter, in lower case if it is ASCII, and that punctuation: pre-tokens of their own."""
         base = chunk.rstrip(punctuation)
-        if base == chunk or not (base and base[-1].isascii() and base[-1].isalpha()):
-            base = chunk
+        if base != chunk and not (base and base[-1] <= LATIN and base[-1].lower().isalpha()):
+            return chunk, ""
         return (base.lower() if base.isascii() else base), chunk[len(base) :]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -108,25 +110,27 @@ class ChunkEncoder:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > self.size // 2:
             self.older, self.known = self.known, {"": b""}
-        if len(self.bases) > self.size // 2:
-            self.older_bases, self.bases = self.bases, {"": b""}
-        known, older, bases = self.known, self.older, self.bases
-        missing = []
+        known, older = self.known, self.older
+        whole, unknown = [], set()
         for c in set().union(*split).difference(known):
-            if (ids := older.get(c)) is None:
-                missing.append((c, *self._apart(c)))
-            else:
+            if (ids := older.get(c)) is not None:
                 known[c] = ids
-        if missing:
-            unknown = []
-            for x in {x for _, *both in missing for x in both if x not in bases}:
-                if (ids := self.older_bases.get(x)) is None:
-                    unknown.append(x)
-                else:
-                    bases[x] = ids
-            self._learn(unknown)
-            for c, base, tail in missing:
-                known[c] = bases[base] + bases[tail]
+                continue
+            base, tail = self._apart(c)
+            if base == c:
+                unknown.add(c)
+                continue
+            whole.append((c, base, tail))
+            for x in (base, tail):
+                if x not in known:
+                    if (ids := older.get(x)) is None:
+                        unknown.add(x)
+                    else:
+                        known[x] = ids
+        if unknown:
+            self._learn(list(unknown))
+        for c, base, tail in whole:
+            known[c] = known[base] + known[tail]
         get = known.__getitem__
         return [b"".join(map(get, chunks)) for chunks in split]
 
