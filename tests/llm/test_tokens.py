@@ -42,6 +42,14 @@ def test_chunks_equal_whole_texts():
             assert np.frombuffer(raw, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_marks_and_signs_before_punctuation():
+    encoder, whole = packing.ChunkEncoder(WORD), Tokenizer.from_file(WORD)
+    whole.encode_special_tokens = True
+    texts = [f"a{c}! {c}< {c}x {c}\u0301' B{c}" for c in map(chr, range(0x20, 0x3100))]
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 def test_encode_and_decode_as_tables(spark):
     docs = spark.createDataFrame([(1, "Hello world", "x"), (2, "", "x"), (3, None, "x"), (3, None, "x")], "doc_id long, text string, ids string")
     encoded = bpe.encode(docs, BYTE, P.PATTERN)
