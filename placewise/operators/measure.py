@@ -27,29 +27,40 @@ def perturbed(sample: DataFrame, existing: DataFrame, keys: list[str], number: s
     return free.groupBy(*cols, number).agg(F.min("_new").alias("perturbed"))
 
 
+#: Province codes under which a code that isn't found is tried again, in this order; True: a former code, which the management number has too (fixed values).
+RETRIES = {"12": (("46", False), ("29", False)), "42": (("51", True),), "45": (("52", True),)}
+
+
 def existence(keys: DataFrame, parcels: DataFrame, addresses: DataFrame) -> DataFrame:
     """ORC1: adds ``oracle`` to keys (kid, bcode, san, main, sub, management): A (the parcel code is an address's), A25 or A19 (its management number, or the first 19 digits, is), P (a parcel's), N (nothing's).
 
-    Misses alone are tried again: the merged province as either of its parts, then former province codes."""
+    Only keys that are nothing's are tried again (``relaxed`` if that finds them), and the first code
+    that is anything's decides: the merged province as either of its parts, a former one as its successor."""
 
     def variants(df: DataFrame) -> DataFrame:
-        p2, rest = F.substring("bcode", 1, 2), F.substring("bcode", 3, 8)
-        swaps = {"12": ["46", "29"], "51": ["42"], "52": ["45"], "42": ["51"], "45": ["52"]}
-        alt = F.lit(None).cast("array<string>")
-        for code, others in swaps.items():
-            alt = F.when(p2 == code, F.array(*(F.concat(F.lit(o), rest) for o in others))).otherwise(alt)
-        return df.withColumn("_try", F.explode(F.concat(F.array("bcode"), F.coalesce(alt, F.array().cast("array<string>")))))
-
-    tried = variants(keys).withColumn("pnu", codes.compose_pnu(F.col("_try"), F.col("san"), F.col("main"), F.col("sub"))).withColumn("_first", (F.col("_try") == F.col("bcode")).cast("int"))
+        def attempt(k: int, code: Column, management: Column) -> Column:
+            return F.struct(F.lit(k).alias("_attempt"), code.alias("_try"), management.alias("_management"))
+
+        own = attempt(0, F.col("bcode"), F.col("management").cast("string"))
+        tries = F.array(own)
+        for old, others in RETRIES.items():
+            more = [
+                attempt(k + 1, F.concat(F.lit(new), F.substring("bcode", 3, 8)), F.concat(F.lit(new), F.expr("substring(management, 3)")) if former else F.lit(None).cast("string"))
+                for k, (new, former) in enumerate(others)
+            ]
+            tries = F.when(F.substring("bcode", 1, 2) == old, F.array(own, *more)).otherwise(tries)
+        return df.withColumn("_t", F.explode(tries)).select("kid", "san", "main", "sub", "_t.*")
+
+    tried = variants(keys).withColumn("pnu", codes.compose_pnu(F.col("_try"), F.col("san"), F.col("main"), F.col("sub"))).withColumn("_m", F.substring("_management", 1, 19))
     ours = addresses.select(codes.synthetic_pnu(F.col("bcode"), F.col("bd_mgt_sn")).alias("pnu")).where("pnu IS NOT NULL").distinct().withColumn("_a", F.lit(True))
     lots = parcels.select("pnu").where("pnu IS NOT NULL").distinct().withColumn("_p", F.lit(True))
-    full = addresses.select(F.col("bd_mgt_sn").alias("management")).where("management IS NOT NULL").distinct().withColumn("_m25", F.lit(True))
+    full = addresses.select(F.col("bd_mgt_sn").alias("_management")).where("_management IS NOT NULL").distinct().withColumn("_m25", F.lit(True))
     head = addresses.select(F.substring("bd_mgt_sn", 1, 19).alias("_m")).where("_m IS NOT NULL").distinct().withColumn("_m19", F.lit(True))
-    j = tried.join(ours, "pnu", "left").join(lots, "pnu", "left").join(full, "management", "left").withColumn("_m", F.substring("management", 1, 19)).join(head, "_m", "left")
+    j = tried.join(ours, "pnu", "left").join(lots, "pnu", "left").join(full, "_management", "left").join(head, "_m", "left")
     order = F.when(F.col("_a"), 0).when(F.col("_m25"), 1).when(F.col("_m19"), 2).when(F.col("_p"), 3).otherwise(4)
-    best = j.groupBy("kid").agg(F.min(F.struct(order.alias("o"), (1 - F.col("_first")).alias("retry"))).alias("b"))
+    best = j.groupBy("kid").agg(F.min(F.struct((order == 4).alias("missed"), F.col("_attempt"), order.alias("o"))).alias("b"))
     names = F.element_at(F.array(*map(F.lit, ("A", "A25", "A19", "P", "N"))), F.col("b.o") + 1)
-    return keys.join(best.select("kid", names.alias("oracle"), ((F.col("b.retry") == 1) & (F.col("b.o") < 4)).alias("relaxed")), "kid", "left")
+    return keys.join(best.select("kid", names.alias("oracle"), (~F.col("b.missed") & (F.col("b._attempt") > 0)).alias("relaxed")), "kid", "left")
 
 
 def approximate_exists(keys: DataFrame, parcels: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ def test_without_the_optional_subpackage(monkeypatch):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["tiered_lookup", "conditional_rates", "dual_window_unambiguous", "pip_areas"])
+@pytest.mark.parametrize("name", ["tiered_lookup", "conditional_rates", "dual_window_unambiguous", "pip_areas", "existence_oracle", "file_periods", "address_regions", "place_names"])
 def test_queries_against_sql(spark, name):
     import duckdb
-    from placewise.queries import QUERIES, SQL
+    from placewise.address_queries import QUERIES, SQL
 
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
