@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from placewise.functions import codes, geo, present, text
 from placewise.operators import aggregates as agg
-from placewise.operators import measure, relational, reverse
-from placewise.queries import C_SQL, QUERIES, S_SQL, SQL, customers, query, suppliers, t  # noqa: F401
+from placewise.operators import measure, relational, reverse, search
+from placewise.queries import _EDGES, C_SQL, QUERIES, S_SQL, SQL, _areas, customers, query, suppliers, t  # noqa: F401
 
 #: Inputs by table: columns made of its key, in SQL that Spark and DuckDB both take.
 MADE = {
@@ -373,3 +373,61 @@ def nearest_address_of(spark: SparkSession, sf: str) -> DataFrame:
     points = suppliers(spark, sf).withColumnRenamed("id", "qid")
     addresses = customers(spark, sf).select("id", F.col("x").alias("lon"), F.col("y").alias("lat"))
     return reverse.nearest_address(points, addresses).select("qid", "aid", F.round("distance", 3).alias("metres"))
+
+
+#: Addresses of the reverse lookup: customers where they are, and at every fourth supplier one on forest land; parcels are squares round two of three suppliers.
+_REVERSE = {
+    "customers": "SELECT id, x AS lon, y AS lat, CASE WHEN id % 3 = 0 THEN '산 ' || CAST(id AS STRING) ELSE CAST(id AS STRING) || '-1' END AS jibun, '0000000000' AS bcode, '0000000000' || lpad(CAST(id % 200 AS STRING), 9, '0') || '000000' AS bd_mgt_sn FROM {c}",
+    "suppliers": "SELECT id + 1000000000 AS id, x AS lon, y AS lat, '산 7-1' AS jibun, '1111111111' AS bcode, CAST(NULL AS STRING) AS bd_mgt_sn FROM {s} WHERE id % 4 = 0",
+    "parcels": "SELECT CAST(id AS STRING) AS pid, lpad(CAST(id % 40 AS STRING), 19, '0') AS pnu, CAST(CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS INT) AS p_san, CAST(id AS INT) AS ji_main, CAST(id % 2 AS INT) AS ji_sub, x, y FROM {s} WHERE id % 3 > 0",
+}
+_HALF = 0.01005
+_TO_ADDRESS = "2 * 6371000.0::DOUBLE * asin(sqrt(sin(radians(a.lat - p.y) / 2) ** 2 + cos(radians(p.y)) * cos(radians(a.lat)) * sin(radians(a.lon - p.x) / 2) ** 2))"
+
+
+@query(f"""
+WITH p AS {S_SQL}, a AS ({_REVERSE['customers'].format(c=C_SQL)} UNION ALL {_REVERSE['suppliers'].format(s='p')}), l AS ({_REVERSE['parcels'].format(s='p')}),
+near AS (SELECT p.id AS qid, a.id AS aid, a.jibun, {_TO_ADDRESS} AS d FROM p JOIN a ON {_TO_ADDRESS} <= 2500 QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {_TO_ADDRESS}, a.id) = 1),
+pip AS (SELECT p.id AS qid, l.pnu, l.p_san, l.ji_main, l.ji_sub FROM p JOIN l ON abs(p.x - l.x) < {_HALF} AND abs(p.y - l.y) < {_HALF}
+  QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY l.p_san, l.ji_main, l.ji_sub, l.pid) = 1),
+trusted AS (SELECT pip.* FROM pip LEFT JOIN near USING (qid) WHERE NOT coalesce(left(near.jibun, 1) = '산' AND pip.p_san = 0 AND near.d <= 5, false)),
+road AS (SELECT p.id AS qid, a.id AS aid FROM trusted JOIN p ON p.id = trusted.qid JOIN a ON a.bcode || substr(a.bd_mgt_sn, 11, 9) = trusted.pnu QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {_TO_ADDRESS}, a.id) = 1),
+inside AS (SELECT id, code FROM (SELECT id, code, count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x < (x2 - x1)::DOUBLE * (y - y1) / (y2 - y1 + 1e-300) + x1) AS n FROM p, {_EDGES} GROUP BY 1, 2) WHERE n % 2 = 1)
+SELECT p.id AS qid, coalesce(road.aid, near.aid) AS road_id,
+  CASE WHEN trusted.qid IS NULL THEN near.jibun ELSE CASE WHEN trusted.p_san = 1 THEN '산 ' ELSE '' END || trusted.ji_main || CASE WHEN trusted.ji_sub > 0 THEN '-' || trusted.ji_sub ELSE '' END END AS lot,
+  CASE WHEN trusted.qid IS NOT NULL THEN 'pip_key' WHEN near.qid IS NOT NULL THEN 'knn' ELSE 'none' END AS address_source, round(near.d, 3) AS distance,
+  (SELECT code FROM inside i WHERE i.id = p.id AND code <> 'C') AS sido, (SELECT code FROM inside i WHERE i.id = p.id AND code = 'C') AS emd
+FROM p LEFT JOIN near ON near.qid = p.id LEFT JOIN trusted ON trusted.qid = p.id LEFT JOIN road ON road.qid = p.id""")
+def reverse_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """GEOC2, GEOC3, JN11, JN12, JN14, PRJ05: every supplier's point against addresses, parcels and areas."""
+    c, s = customers(spark, sf), suppliers(spark, sf)
+    addresses = spark.sql(_REVERSE["customers"], c=c).unionByName(spark.sql(_REVERSE["suppliers"], s=s))
+    corners = [(-_HALF, -_HALF), (_HALF, -_HALF), (_HALF, _HALF), (-_HALF, _HALF)]
+    ring = F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in corners))
+    parcels = spark.sql(_REVERSE["parcels"], s=s).withColumn("rings", F.array(ring)).drop("x", "y")
+    return reverse.reverse(s.withColumnRenamed("id", "qid"), addresses, parcels, _areas(spark), ["sido", "emd"])
+
+
+#: Addresses and queries of the forward lookup: ten roads in two counties; a query has a county, road and numbers, a road and a number that no address has, a postal code, or a lot.
+_FORWARD = {
+    "customers": "SELECT id, 'addr' AS kind, 'n' || CAST(id AS STRING) AS name, CASE WHEN id % 2 = 0 THEN '서울특별시' ELSE '부산광역시' END AS sido, CASE WHEN id % 2 = 0 THEN '강남구' ELSE '해운대구' END AS sigungu, '역삼동' AS emd,"
+                 " CAST(NULL AS STRING) AS haeng_dong, substr('가나다라마바사아자차', CAST(id % 10 AS INT) + 1, 1) || '람로' AS road_norm, CAST(id % 7 + 1 AS INT) AS main_no, CAST(id % 3 AS INT) AS sub_no, CAST(NULL AS STRING) AS bld,"
+                 " lpad(CAST(id % 300 + 6000 AS STRING), 5, '0') AS postal, '역삼동 ' || CAST(id % 90 + 1 AS STRING) || CASE WHEN id % 4 = 0 THEN '' ELSE '-' || CAST(id % 4 AS STRING) END AS jibun, '' AS search_text, CAST(1 AS INT) AS is_primary, x AS lon, y AS lat FROM {c}",
+    "suppliers": "SELECT id AS qid, CASE id % 4 WHEN 0 THEN '강남구 ' || substr('가나다라마바사아자차', CAST(id % 10 AS INT) + 1, 1) || '람로 ' || CAST(id % 9 + 1 AS STRING) || CASE WHEN id % 5 = 0 THEN '' ELSE '-' || CAST(id % 5 AS STRING) END"
+                 " WHEN 1 THEN substr('가나다라마바사아자차', CAST(id % 10 AS INT) + 1, 1) || '람로 999' WHEN 2 THEN lpad(CAST(id % 400 + 6000 AS STRING), 5, '0') ELSE '역삼동 ' || CAST(id % 100 + 1 AS STRING) END AS text FROM {s}",
+}
+
+
+@query(f"""
+WITH a AS ({_FORWARD['customers'].format(c=C_SQL)}), q AS (SELECT id AS qid, id % 4 AS kind, substr('가나다라마바사아자차', (id % 10 + 1)::INT, 1) || '람로' AS road, CASE WHEN id % 4 = 1 THEN 999 ELSE id % 9 + 1 END AS m, id % 5 AS k, id % 400 + 6000 AS zip, id % 100 + 1 AS lot FROM {S_SQL} p),
+by_road AS (SELECT qid, a.id, a.sigungu, q.kind, CASE WHEN m = main_no AND (CASE WHEN q.kind = 1 THEN 0 ELSE k END) = sub_no THEN 200 WHEN m = main_no THEN 150 ELSE 110 END AS base FROM q JOIN a ON road = road_norm WHERE q.kind < 2
+  QUALIFY base = max(base) OVER (PARTITION BY qid)),
+found AS (SELECT qid, id, base + CASE WHEN kind = 0 AND sigungu = '강남구' THEN 12 ELSE 0 END AS score, 0 AS place FROM by_road
+  UNION ALL SELECT qid, a.id, 180, 0 FROM q JOIN a ON a.postal::INT = zip WHERE q.kind = 2
+  UNION ALL SELECT qid, a.id, 200, CASE WHEN jibun = '역삼동 ' || lot THEN 0 ELSE 1 END + CASE WHEN sigungu = '강남구' THEN 0 ELSE 0.5 END FROM q JOIN a ON jibun = '역삼동 ' || lot OR jibun LIKE '역삼동 ' || lot || '-%' WHERE q.kind = 3)
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, place, CASE WHEN qid % 4 = 3 THEN id END, id::VARCHAR) AS rank, id::VARCHAR AS id, score FROM found
+QUALIFY rank <= 8""")
+def forward_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """GEOC1, FLT10, TXT09, TOP02: every supplier's query against all addresses; eight results are the feature."""
+    places = spark.sql(_FORWARD["customers"], c=customers(spark, sf))
+    return search.geocode(spark.sql(_FORWARD["suppliers"], s=suppliers(spark, sf)), places).select("qid", F.col("rank").cast("long"), "id", "score")
