@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from placewise.functions import codes, geo, present, text
 from placewise.operators import aggregates as agg
-from placewise.operators import measure, relational, reverse, search
+from placewise.operators import measure, relational, resolution, reverse, search
 from placewise.queries import _EDGES, C_SQL, QUERIES, S_SQL, SQL, _areas, customers, query, suppliers, t  # noqa: F401
 
 #: Inputs by table: columns made of its key, in SQL that Spark and DuckDB both take.
@@ -431,3 +431,39 @@ def forward_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """GEOC1, FLT10, TXT09, TOP02: every supplier's query against all addresses; eight results are the feature."""
     places = spark.sql(_FORWARD["customers"], c=customers(spark, sf))
     return search.geocode(spark.sql(_FORWARD["suppliers"], s=suppliers(spark, sf)), places).select("qid", F.col("rank").cast("long"), "id", "score")
+
+
+# ---- measurement and resolution ----
+
+
+@query("""
+WITH a AS (SELECT l_orderkey AS qid, list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey) AS x FROM lineitem GROUP BY 1), b AS (SELECT l_orderkey + 1 AS qid, list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey) AS y FROM lineitem GROUP BY 1),
+j AS (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(x, []::VARCHAR[]) AS x, coalesce(y, []::VARCHAR[]) AS y FROM a FULL JOIN b ON a.qid = b.qid)
+SELECT qid, round(len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))), 9) AS jaccard, x[1] IS NOT DISTINCT FROM y[1] AS top1 FROM j""")
+def list_parity(spark: SparkSession, sf: str) -> DataFrame:
+    """AGG21: the parts of each order against those of the order before it, as two result lists."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda r: r["l_partkey"].cast("string"))
+    lists = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("qid")).agg(ordered.alias("ids"))
+    return measure.parity(lists, lists.withColumn("qid", F.col("qid") + 1)).withColumn("jaccard", F.round("jaccard", 9))
+
+
+@query("""
+WITH p AS (SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_brand || ' (A)' WHEN 1 THEN lower(p_brand) || 'a' ELSE p_type END AS name, 127 + (p_partkey % 40) / 10000.0::DOUBLE + 0.00001::DOUBLE AS lon, 36.50001::DOUBLE AS lat, p_size FROM part)
+SELECT id, (row_number() OVER (PARTITION BY lower(regexp_replace(name, '[()# ]', '', 'g')), round(lon, 3), round(lat, 3) ORDER BY p_size, id) = 1)::INT AS is_primary
+FROM p""")
+def primary_by_name_and_cell(spark: SparkSession, sf: str) -> DataFrame:
+    """ER04 in one pass: the primary of each name key in a three-place cell, by size and number."""
+    df = t(spark, sf, "part").selectExpr(
+        "p_partkey AS id", "CASE p_partkey % 3 WHEN 0 THEN p_brand || ' (A)' WHEN 1 THEN lower(p_brand) || 'a' ELSE p_type END AS name",
+        "127 + CAST(p_partkey % 40 AS DOUBLE) / 10000 + CAST(0.00001 AS DOUBLE) AS lon", "CAST(36.50001 AS DOUBLE) AS lat", "p_size",
+    )
+    return resolution.simple_primary(df, F.col("p_size")).select("id", F.col("is_primary").cast("int"))
+
+
+@query(f"""
+SELECT id, round((x - 127) * (111412.84::DOUBLE * cos(radians(36)) - 93.5::DOUBLE * cos(3 * radians(36))), 4) AS east,
+  round((y - 36) * (111132.92::DOUBLE - 559.82::DOUBLE * cos(2 * radians(36)) + 1.175::DOUBLE * cos(4 * radians(36))), 4) AS north FROM {C_SQL}""")
+def local_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """GEO12."""
+    df = customers(spark, sf).withColumn("m", geo.local_metres(F.col("x"), F.col("y"), F.lit(127.0), F.lit(36.0)))
+    return df.select("id", F.round("m.east", 4).alias("east"), F.round("m.north", 4).alias("north"))
