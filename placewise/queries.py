@@ -471,14 +471,30 @@ def er_components(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")))
 
 
-@query()
+#: Shops, five to a place and places 0.002 degrees apart, so that pairs grow with the table and not its square; in SQL for both engines.
+_SHOPS = """SELECT s_suppkey AS id, '상점' || CAST(CAST(floor(s_suppkey / 2) AS INT) % 40 AS STRING) || CASE s_suppkey % 6 WHEN 0 THEN ' 신촌점' WHEN 1 THEN ' 명동점' ELSE '' END AS name,
+  CASE WHEN s_suppkey % 7 > 0 THEN '02-555-' || CAST(1000 + CAST(floor(s_suppkey / 3) AS INT) % 60 AS STRING) END AS phone,
+  127 + CAST(floor(s_suppkey / 5) AS INT) % 1000 * CAST(0.002 AS DOUBLE) + s_suppkey % 5 * CAST(0.0002 AS DOUBLE) + CAST(0.00003 AS DOUBLE) AS lon,
+  37 + CAST(floor(s_suppkey / 5000) AS INT) * CAST(0.002 AS DOUBLE) + s_suppkey % 3 * CAST(0.0003 AS DOUBLE) + CAST(0.00003 AS DOUBLE) AS lat, CAST(NULL AS STRING) AS bld, 'x' AS source FROM supplier"""
+
+
+@query(f"""
+WITH s AS ({_SHOPS}),
+f AS (SELECT id, lon, lat, replace(phone, '-', '') AS digits, CASE WHEN name LIKE '% %' THEN split_part(name, ' ', 2) END AS branch, split_part(name, ' ', 1) AS core, '  ' || split_part(name, ' ', 1) || ' ' AS padded,
+  CASE WHEN phone IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY phone) END AS share, floor(lon / 0.0001::DOUBLE) AS bx, floor(lat / 0.0001::DOUBLE) AS b_y, floor(lon / 0.0006::DOUBLE) AS cx, floor(lat / 0.0006::DOUBLE) AS cy FROM s),
+g AS (SELECT f.*, list_distinct(list_transform(range(1, length(padded) - 1), lambda i: substr(padded, i, 3))) AS tris, (SELECT count(*) FROM f o WHERE abs(o.bx - f.bx) <= 1 AND abs(o.b_y - f.b_y) <= 1) AS crowd FROM f),
+p AS (SELECT a.id AS a, b.id AS b, least(length(a.core), length(b.core)) <= 3 AS short, 2.0::DOUBLE * len(list_intersect(a.tris, b.tris)) / (len(a.tris) + len(b.tris)) AS sim,
+  coalesce(a.branch <> b.branch, false) AS branches, a.digits = b.digits AS same, greatest(a.share, b.share) AS share, greatest(a.crowd, b.crowd) AS crowd,
+  2 * 6371000.0::DOUBLE * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS d
+  FROM g a JOIN g b ON a.id < b.id AND abs(a.cx - b.cx) <= 1 AND abs(a.cy - b.cy) <= 1),
+w AS (SELECT *, CASE WHEN sim >= CASE WHEN short THEN 0.8 ELSE 0.6 END THEN 9.45 WHEN sim >= 0.3 AND NOT short THEN 2 ELSE -1.32 END::DOUBLE AS nw,
+  CASE WHEN same IS NULL THEN 0 WHEN NOT same THEN -1 WHEN share >= 10 THEN 0 WHEN share >= 3 THEN 9.97 / 2 ELSE 9.97 END::DOUBLE AS pw,
+  (CASE WHEN d <= 20 THEN 5.3 WHEN d <= 60 THEN 3.6 WHEN d <= 150 THEN 0 ELSE -3.32 END)::DOUBLE * least(1, 2.0::DOUBLE / crowd) AS lw FROM p),
+o AS (SELECT *, CASE WHEN branches THEN 0 ELSE 1 - 1 / (1 + 2.0::DOUBLE ** (log2(0.1::DOUBLE / 0.9::DOUBLE) + nw + pw + lw)) END AS pr FROM w)
+SELECT a, b, round(pr, 6) AS pr, CASE WHEN branches THEN 'NO' WHEN pr >= 0.9 AND (nw >= 9.45 OR pw >= 9.97) AND NOT (pw >= 9.97 AND sim < 0.3 AND lw <= 0) THEN 'AUTO' WHEN pr >= 0.5 THEN 'REVIEW' ELSE 'NO' END AS decision FROM o""")
 def er_scored_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    s = t(spark, sf, "supplier")
-    k = F.col("s_suppkey")
-    places = s.select(
-        k.alias("id"), F.concat(F.lit("상점"), (k % 40).cast("string"), F.when(k % 3 == 0, " 신촌점").otherwise("")).alias("name"), F.concat(F.lit("02-555-"), (1000 + k % 60).cast("string")).alias("phone"),
-        (127.0 + (k % 97) / 100000.0).alias("lon"), (37.0 + (k % 89) / 100000.0).alias("lat"), F.lit(None).cast("string").alias("bld"), F.lit("x").alias("source"),
-    )
+    """JN17, AGG26, ER01, ER02."""
+    places = spark.sql(_SHOPS.replace("FROM supplier", "FROM {s}"), s=t(spark, sf, "supplier"))
     return resolution.score(resolution.candidates(resolution.features(places))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round("pr", 6).alias("pr"), "decision")
 
 
