@@ -427,7 +427,7 @@ def pip_areas(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT a.id AS id, b.id AS id2, round(sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2), 9) AS distance FROM {C_SQL} a JOIN {C_SQL} b ON a.id < b.id AND sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) <= 0.03")
 def grid_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.pair_join(customers(spark, sf), 0.03).select("id", "id2", F.round("distance", 9).alias("distance"))
+    return spatial.pair_join(customers(spark, sf), 0.03, digits=9)
 
 
 @query(f"""
