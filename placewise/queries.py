@@ -467,8 +467,7 @@ def box_filter(spark: SparkSession, sf: str) -> DataFrame:
 WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM {C_SQL} a JOIN {C_SQL} b ON a.id <> b.id AND sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) <= 0.03), r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
 SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def er_components(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = spatial.pair_join(customers(spark, sf), 0.03)
-    return connected_components(pairs.select(F.col("id").alias("a"), F.col("id2").alias("b")))
+    return spatial.near_components(customers(spark, sf), 0.03)
 
 
 #: Shops, five to a place and places 0.002 degrees apart, so that pairs grow with the table and not its square; in SQL for both engines.
