@@ -312,9 +312,14 @@ def text_norm_rules(spark: SparkSession, sf: str) -> DataFrame:
 WITH g AS (SELECT p_partkey, p_brand, p_size, list_distinct(list_transform(range(1, length(p_name) + 2), lambda i: substr('  ' || p_name || ' ', i::BIGINT, 3))) AS t FROM part)
 SELECT a.p_partkey AS a, b.p_partkey AS b, round(2.0::DOUBLE * len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t)), 6) AS sim FROM g a JOIN g b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def trigram_dice(spark: SparkSession, sf: str) -> DataFrame:
-    p = t(spark, sf, "part").select("p_partkey", "p_brand", "p_size", text.trigrams(F.col("p_name")).alias("t"))
-    a, b = (p.select(F.col("p_partkey").alias(k), "p_brand", "p_size", F.col("t").alias(f"t{k}")) for k in "ab")
-    return a.join(b, ["p_brand", "p_size"]).where("a < b").select("a", "b", F.round(text.dice(F.col("ta"), F.col("tb")), 6).alias("sim"))
+    p = t(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", F.coalesce("p_name", F.lit("")).alias("name"))
+    names = p.select("p_brand", "p_size", "name").distinct().withColumn("t", text.trigrams(F.col("name")))
+    other = names.select(F.col("p_brand").alias("brand2"), F.col("p_size").alias("size2"), F.col("name").alias("name2"), F.col("t").alias("t2"))
+    # likeness of distinct names; parts of one name are paired after that
+    pairs = names.join(other, (F.col("p_brand") == F.col("brand2")) & (F.col("p_size") == F.col("size2")) & (F.col("name") <= F.col("name2")))
+    pairs = pairs.select("p_brand", "p_size", "name", "brand2", "size2", "name2", F.round(text.dice(F.col("t"), F.col("t2")), 6).alias("sim"))
+    met = relational.member_pairs(pairs, p, ["p_brand", "p_size", "name"], ["brand2", "size2", "name2"])
+    return met.select(F.col("id").alias("a"), F.col("id2").alias("b"), "sim")
 
 
 @query("""

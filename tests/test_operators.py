@@ -311,3 +311,10 @@ def test_pairs_of_rows_that_share_points(spark):
     # lists of a class are parted by BLOCK, no pair is lost
     crowd = spark.range(700).selectExpr("CAST(id AS INT) AS id", "CAST(1.0 AS DOUBLE) AS x", "CAST(1.0 AS DOUBLE) AS y")
     assert spatial.pair_join(crowd, 0.01).distinct().count() == 700 * 699 // 2
+
+
+def test_pairs_of_classes_members(spark):
+    """What holds for two classes holds for all pairs of their members, each once and the lesser id first."""
+    pairs = spark.createDataFrame([("a", "a", 1.0), ("a", "b", 0.5), ("b", "b", 1.0), ("c", "c", 1.0)], "k string, k2 string, sim double")
+    members = spark.createDataFrame([(5, "a"), (1, "b"), (7, "a"), (9, "b"), (2, "c")], "id int, k string")
+    assert rows(relational.member_pairs(pairs, members, ["k"], ["k2"]), "id", "id2", "sim") == [(1, 5, 0.5), (1, 7, 0.5), (1, 9, 1.0), (5, 7, 1.0), (5, 9, 0.5), (7, 9, 0.5)]
