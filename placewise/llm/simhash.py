@@ -226,6 +226,26 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _joined(docs: DataFrame, also: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows (doc_id, component_id) of the ids: fingerprints' links and the edges ``also`` (a, b) of ids, as one graph."""
+    marked = stash(fingerprints(docs))
+    nodes = stash(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
+    near = links(nodes, block)
+    if not nodes.where("first_doc is null").isEmpty():
+        # such a fingerprint may join others and has no id to stand for it: its part of the graph comes first
+        parts = connected_components(near).withColumnRenamed("node", "fp")
+        named = nodes.join(parts, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        least = named.groupBy("component").agg(F.min("first_doc").alias("first_doc"))
+        nodes = stash(named.select("fp", "component").join(least, "component").select("fp", "first_doc"))
+        between = None
+    else:
+        first = nodes.select(F.col("fp").alias("a"), F.col("first_doc").alias("x")), nodes.select(F.col("fp").alias("b"), F.col("first_doc").alias("y"))
+        between = near.join(first[0], "a").join(first[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    edges = marked.where("doc_id is not null").join(nodes, "fp").select(F.col("first_doc").alias("a"), F.col("doc_id").alias("b")).distinct().unionByName(also.select("a", "b"))
+    edges = stash(edges if between is None else edges.unionByName(between))
+    return connected_components(edges).select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
 def digest(found: DataFrame) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), the fingerprint as 16 hex digits."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -234,12 +254,7 @@ def digest(found: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, also: DataFrame | None = None) -> DataFrame:
     """One document of each component, joined further by the edges ``also`` (a, b) of ids: the smallest id; of rows that share it the least by its atomic columns."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    found = near_duplicates(docs)
-    if also is not None:
-        own = stash(found.where("doc_id is not null").select("doc_id", "component_id").distinct())
-        edges = own.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).unionByName(also.select("a", "b"))
-        joined = connected_components(edges)
-        found = joined.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+    found = near_duplicates(docs) if also is None else _joined(docs, also)
     leaders = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.withColumn("_id", F.col("doc_id").cast("long")).join(leaders.withColumnRenamed("doc_id", "_id"), "_id", "left_semi")
     atomic = [F.col(f"`{f.name}`") for f in docs.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]

@@ -142,3 +142,17 @@ def test_one_document_of_each_group_stays(spark):
     assert (3, "a") in kept and (11, "a") in kept and (12, "a") in kept and (None, "z") in kept
     assert not {(5, "b"), (3, "c"), (13, "a")} & kept
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bridge", [None, 2])
+def test_fingerprints_and_other_edges_are_one_graph(spark, monkeypatch, bridge):
+    calls, whole = [], simhash.connected_components
+    monkeypatch.setattr(simhash, "connected_components", lambda edges: calls.append(1) or whole(edges))
+    # 5 - 6 by fingerprint, 6 - 9 by an edge, 9 = 12 by copies; 20 and 31 by a row that may have no id
+    fps = {5: 0b0, 6: 0b111, 9: 0xFF << 40, 12: 0xFF << 40, 20: 0xFFFF << 20, bridge: 0xFFFF << 20 | 0b111, 31: 0xFFFF << 20 | 0b111111}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", "fp"))
+    docs = spark.createDataFrame([(k, v) for k, v in fps.items()], "doc_id long, fp long")
+    also = spark.createDataFrame([(9, 6)], "a long, b long")
+    kept = {r.doc_id for r in simhash.keep_one(docs, also).collect()}
+    assert kept == ({5, 2} if bridge else {5, 20, None})
+    assert len(calls) == (1 if bridge else 2)
