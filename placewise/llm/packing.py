@@ -50,10 +50,16 @@ class ChunkEncoder:
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.mark = self._ids(MARK)
+        # a word of a-z is one pre-token as it stands: its normal form and the pattern need not be looked at
+        self.plain = Tokenizer.from_file(path)
+        self.plain.encode_special_tokens = True
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         model = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in model["normalizer"]["normalizers"]], model["model"]["type"], model["model"]["dropout"]
         if steps != (["NFC", "Replace", "Lowercase"], "BPE", None):
@@ -72,14 +78,17 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         known = self.known
         # one pre-token each, unless one falls apart in lower case, which the count of ends tells
-        words = [w for w in chunks if w.isalpha() and is_normalized("NFC", w)]
-        for k in range(0, len(words), 5000):
-            part = words[k : k + 5000]
-            ids = np.array(self._ids(" ".join(part)), "<u4")
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(cuts) == len(part):
-                raw = ids.tobytes()
-                known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(part, [0, *cuts], cuts, strict=False))
+        words = [w for w in chunks if w.isalpha()]
+        plain = [w for w in words if w.isascii() and w.islower()]
+        others = [w for w in words if not (w.isascii() and w.islower()) and is_normalized("NFC", w)]
+        for tokenizer, some in ((self.plain, plain), (self.tokenizer, others)):
+            for k in range(0, len(some), 1000):
+                part = some[k : k + 1000]
+                ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(cuts) == len(part):
+                    raw = ids.tobytes()
+                    known.update(zip(part, [raw[4 * a : 4 * b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
         chunks = [c for c in chunks if c not in known]
         alone = [c for c in chunks if MARK in c]
         together = [c for c in chunks if MARK not in c]
@@ -116,7 +125,7 @@ class ChunkEncoder:
             if (ids := older.get(c)) is not None:
                 known[c] = ids
                 continue
-            base, tail = self._apart(c)
+            base, tail = (c.lower(), "") if c.isalpha() and c.isascii() else self._apart(c)
             if base == c:
                 unknown.add(c)
                 continue

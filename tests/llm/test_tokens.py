@@ -135,3 +135,17 @@ def test_bins_close_the_fullest_first():
 
 def test_packing_of_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string"), WORD).count() == 0
+
+
+def test_plain_words_are_learned_as_they_stand(monkeypatch):
+    encoder, whole = packing.ChunkEncoder(WORD), Tokenizer.from_file(WORD)
+    met = []
+    tokenizer, ids = encoder.tokenizer, encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda text: met.append(text) or ids(text))
+    encoder.tokenizer = type("Seen", (), {"encode_batch_fast": lambda self, texts, **k: met.extend(texts) or tokenizer.encode_batch_fast(texts, **k)})()
+    text = "plain Words, WORDS and wörds don't İstanbul x\ny zzzqqq"
+    expected = whole.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == expected
+    # only what has other letters or signs is shown to the pattern
+    shown = set(" ".join(met).split())
+    assert not shown & {"plain", "words", "and", "x", "y", "zzzqqq"} and {"wörds", "don't", "İstanbul"} <= shown
